@@ -47,6 +47,24 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files of finished steps now, not at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` once, hash-partitioned by ``key``; later joins on ``key`` then move only their other side."""
+    spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
+    path = work_dir(spark, name)
+    table_name = "depinfer_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table_name)
+    release(spark)
+    return spark.table(table_name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
