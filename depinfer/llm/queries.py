@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depinfer.llm import op1_token_orc
+from depinfer.llm import op1_token_orc, op5_suffix_dedup
 from depinfer.llm.common import table, work_dir
 
 
@@ -14,8 +14,15 @@ def op1_token_orc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_orc.token_digests(op1_token_orc.read_token_orc(spark, path))
 
 
+def op5_suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_orc": op1_token_orc_query}
+    return {
+        "op1_token_orc": op1_token_orc_query,
+        "op5_suffix_dedup": op5_suffix_dedup_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
