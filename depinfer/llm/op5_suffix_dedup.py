@@ -125,7 +125,7 @@ def _runs_of(length: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             data, offsets = _text_bytes(batch.column("text"))
             keys, out = batch.column("key").to_numpy(), []
             for p0 in range(int(offsets[0]), int(offsets[-1]) - length + 1, _SEGMENT):
@@ -158,15 +158,14 @@ def _blocks_of(length: int, block: int):
     """Blocks of the windows in ``parts``, aligned by their distance from the anchor."""
     k, unit = _sizes(length)
 
-    def cut(pieces):
+    def cut(data, start, key, lo, hi, m, need):
+        """The blocks of parts whose bytes begin at ``start`` in ``data``."""
         import numpy as np
         import pyarrow as pa
 
-        data = np.concatenate([x[0] for x in pieces])
-        size = np.array([len(x[0]) for x in pieces])
+        size = hi - lo + length
         base = np.cumsum(size) - size
-        key, lo, hi, m, need = (np.array(c) for c in zip(*(x[1:] for x in pieces)))
-        _, units = _names(data, 1, unit)
+        _, units = _names(data[np.arange(int(size.sum())) + np.repeat(start - base, size)], 1, unit)
         far, near = (m - lo) // block, (m - hi) // block
         n = far - near + 1
         row = np.repeat(np.arange(len(n)), n)
@@ -183,22 +182,23 @@ def _blocks_of(length: int, block: int):
         )
 
     def blocks(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
         for batch in batches:
             batch = batch.filter(batch.column("parts").is_valid())
             if not batch.num_rows:
                 continue
             data, offsets = _text_bytes(batch.column("text"))
-            pieces, held = [], 0
-            for key, start, parts in zip(batch.column("key").to_pylist(), offsets, batch.column("parts").to_pylist()):
-                for x in parts:
-                    lo, hi = x["lo"], x["hi"]
-                    pieces.append((data[start + lo : start + hi + length], key, lo, hi, x["m"], x["need"]))
-                    held += hi + length - lo
-                    if held > 1 << 20:
-                        yield cut(pieces)
-                        pieces, held = [], 0
-            if pieces:
-                yield cut(pieces)
+            parts = batch.column("parts")
+            row, held = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+            lo, hi, m = (held.field(x).to_numpy().astype(np.int64) for x in ("lo", "hi", "m"))
+            need, key = held.field("need").to_numpy(zero_copy_only=False), batch.column("key").to_numpy()[row]
+            start = offsets[row] + lo
+            group = np.cumsum(hi - lo + length) >> 19
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield cut(data, start[a:b], key[a:b], lo[a:b], hi[a:b], m[a:b], need[a:b])
 
     return blocks
 
@@ -269,7 +269,7 @@ def _digest_of(length: int):
     def digest(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             rows = []
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
                 data = text.encode()
