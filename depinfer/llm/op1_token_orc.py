@@ -32,20 +32,14 @@ def _encoder_of(tokenizer, end_id: int):
         from pyspark import TaskContext
 
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                coded = [x + end for x in enc.encode(batch.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in coded), dtype=np.int64, count=len(coded))
-                ends = np.cumsum(n)
-                ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), lists],
-                    names=["doc_id", "part", "part_start", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
+        for batch in (x for whole in batches for x in enc.slices(whole)):
+            ends, ids = enc.encode(batch.column("text"), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), lists],
+                names=["doc_id", "part", "part_start", "n_tokens", "ids"],
+            )
+            start += int(ends[-1])
 
     return encode
 

@@ -10,58 +10,112 @@ from pyspark.sql import SparkSession
 
 from depinfer.llm.common import process_cache, ship
 
-#: Words that one Python worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHE_WORDS = 400_000
+#: Chunks that one Python worker keeps; beyond it only those of the current slice stay, so memory is bounded.
+CACHE_WORDS = 600_000
+#: Characters of text that are encoded together; a longer text is a slice of its own.
+SLICE_CHARS = 6_000_000
 
-_UNSAFE = re.compile(r"\s ")
+_TWO_SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
+_CHUNK_STARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Byte-level BPE ids of whole texts.
 
-    The pre-tokenizer starts a new piece at each space that follows a character
-    which is not white space, so such chunks can be encoded on their own, once
-    for each distinct chunk.  Texts with white space before a space go to the
-    library whole.
+    The pre-tokenizer starts a new piece at a single space or line feed between
+    two characters that are not white space, and between a letter and the full
+    stops and commas after it.  So the chunks between such places can be encoded
+    on their own, once for each distinct chunk; Arrow splits the texts and finds
+    the distinct chunks, NumPy puts the ids together.
     """
 
     def __init__(self, json_text: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(json_text)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, words: set, into: dict, prefix: str) -> None:
-        new = [w for w in words if w not in into]
-        if new:
-            if len(into) + len(new) > CACHE_WORDS:
-                into.clear()
-                new = list(words)
-            for w, e in zip(new, self._batch([prefix + w for w in new])):
-                into[w] = e
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            out += self._encode(texts[at : at + 256])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(x) else x.split(" ") for x in texts]
-        whole = iter(self._batch([x for x, w in zip(texts, split) if w is None]))
-        self._learn({w[0] for w in split if w}, self.first, "")
-        later: set[str] = set()
-        for w in split:
-            if w:
-                later.update(w[1:])
-        self._learn(later, self.later, " ")
-        get = self.later.__getitem__
-        return [next(whole) if w is None else self.first[w[0]] + b"".join(map(get, w[1:])) for w in split]
+        #: For chunks of letters alone, which the pre-tokenizer's pattern would leave whole.
+        self.letters = Tokenizer.from_str(json_text)
+        self.letters.encode_special_tokens = True
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Chunk (without its leading space, or with its leading line feed) -> its ids.
+        self.known: dict[str, bytes] = {}
+
+    def _batch(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of chunks that follow a space, or begin with a line feed."""
+        known = self.known
+        found = list(map(known.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if not new:
+            return found
+        if len(known) + len(new) > CACHE_WORDS:
+            known = self.known = {w: x for w, x in zip(words, found) if x is not None}
+        stems, marked = [], []
+        for w in new:
+            stem = w.rstrip(".,")
+            if len(stem) != len(w) and stem and stem[-1].isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+                stems.append(stem)
+            else:
+                stems.append(w)
+        stems = set(stems)
+        stems.difference_update(known)
+        letters = [w for w in stems if w.isalpha()]
+        known.update(zip(letters, self._batch([" " + w for w in letters], self.letters)))
+        others = [w for w in stems if not w.isalpha()]
+        known.update(zip(others, self._batch([w if w[:1] == "\n" else " " + w for w in others])))
+        marks = list({mark for _, _, mark in marked})
+        marks = dict(zip(marks, self._batch(marks)))
+        known.update((w, known[stem] + marks[mark]) for w, stem, mark in marked)
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts, end_id: int):
+        """``(offsets, ids)`` of a string array without nulls; each text's ids end with ``end_id``."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_string())
+        unsafe = pc.or_(pc.match_substring_regex(texts, _TWO_SPACES), pc.starts_with(texts, "\n"))
+        plain = pc.if_else(unsafe, "", texts)
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        flat, bounds = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        coded = flat.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = np.cumsum(bounds) - bounds
+        # A text's first chunk follows no space, and texts that can't be split go whole, or by safe places: both get entries of their own.
+        extra = [self._batch(flat.take(pa.array(first)).to_pylist())]
+        index = index.astype(np.int64)
+        index[first] = len(words) + np.arange(len(first))
+        held = self._ids_of(words) + extra[0]
+        for i in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)):
+            head, *later = _CHUNK_STARTS.split(texts[int(i)].as_py())
+            held[len(words) + i] = self._batch([head])[0] + b"".join(self._ids_of([w[1:] if w[0] == " " else w for w in later]))
+        held.append(array("I", [end_id]).tobytes())
+        ends = np.cumsum(bounds)
+        index = np.insert(index, ends, len(held) - 1)
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        store = np.frombuffer(b"".join(held), "<u4")
+        at = (np.cumsum(size) - size)[index]
+        n = size[index]
+        done = np.cumsum(n)
+        ids = store[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(at - (done - n), n)]
+        return np.concatenate([[0], done[ends + np.arange(len(ends))]]).astype(np.int64), ids
+
+    def slices(self, batch):
+        """Slices of a record batch with a ``text`` column, of bounded size."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not batch.num_rows:
+            return
+        group = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield batch.slice(a, b - a)
 
 
 def encoder(json_text: Broadcast) -> Encoder:
