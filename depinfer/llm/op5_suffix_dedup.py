@@ -220,19 +220,21 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     runs = materialize(docs.select("key", "text").mapInArrow(_runs_of(length), RUNS), "op5-runs")
-    again = runs.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # Written before it is joined, so that both sides of the join are shuffled and a hot anchor's rows can be split.
+    again = materialize(runs.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-again")
     kept = materialize(runs.join(again, "anchor", "left_semi"), "op5-anchors")
     release(spark)
     one = F.min(F.struct("key", "lo", "hi", "m"))
     shapes = materialize(kept.groupBy("anchor", "hull").agg(F.count("*").alias("n"), one.alias("one")), "op5-shapes")
     whole = kept.join(shapes.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi").select("key", "lo", "hi")
     found = [materialize(whole, "op5-whole")]
-    several = shapes.groupBy("anchor").count().filter("count > 1").select("anchor")
+    several = materialize(shapes.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-several")
     todo = shapes.join(several, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("need"))
     for block in BLOCKS:
         parts = _by_document(todo, "lo", "hi", "m", "need")
         blocks = materialize(_with_parts(docs, parts).mapInArrow(_blocks_of(length, block), BLOCK_ROWS), f"op5-blocks{block}")
         cores = blocks.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("same")).filter("n > 1").select("core", "same")
+        cores = materialize(cores, f"op5-cores{block}")
         shared = materialize(blocks.join(cores, "core"), f"op5-shared{block}")
         found.append(shared.filter("same and need").select("key", "lo", "hi"))
         todo = shared.filter("not same").select("key", "lo", "hi", "m", "need")
