@@ -213,7 +213,7 @@ def _late_links(stars: DataFrame, sets: DataFrame, linked: DataFrame, part: int,
     members = materialize(members.withColumn("left_out", F.expr("component <> of_centre")), "op9-members")
     sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.count_if("left_out").alias("n_left")).filter("n > 1 and n_left > 0")
     sizes = sizes.select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_left") / BLOCK).cast("int").alias("left_blocks"))
-    rows = members.join(sizes, "centre").withColumn("at", F.xxhash64("rep"))
+    rows = members.join(materialize(sizes, "op9-sizes"), "centre").withColumn("at", F.xxhash64("rep"))
     left = rows.filter("left_out").select("centre", "rep", "component", F.expr("pmod(at, left_blocks)").cast("int").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), F.lit(True).alias("side"))
     other = rows.select("centre", "rep", "component", F.explode(F.expr("sequence(0, left_blocks - 1)")).alias("i"), F.expr("pmod(at, blocks)").cast("int").alias("j"), F.lit(False).alias("side"))
     return left.unionByName(other).join(sets, "rep").groupBy("centre", "i", "j").applyInArrow(_compare_of(part, whole), "a bigint, b bigint")
@@ -231,11 +231,13 @@ def near_duplicate_components(held: DataFrame, part: int = 85, whole: int = 100,
     classes = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("key", "bands")).alias("one"), least.alias("least"))
     classes = materialize(classes.select("f1", "f2", "n", F.col("one.key").alias("rep"), F.col("one.bands").alias("bands"), "least"), "op9-classes")
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    # What is joined back is written first, so that both sides are shuffled and the rows of a hot key can be split.
+    shared = materialize(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "op9-shared")
     met = materialize(banded.join(shared, "bucket"), "op9-met")
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
-    met = met.join(weight, "rep")
+    met = materialize(met.join(weight, "rep"), "op9-weighed")
     centres = met.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c"), F.max("n").alias("most")).select("bucket", (-F.col("c.minus")).alias("centre"))
+    centres = materialize(centres, "op9-centres")
     stars = materialize(met.join(centres, "bucket").filter("rep <> centre").select("centre", "rep").distinct(), "op9-stars")
     release(spark)
     needed = stars.select(F.col("rep").alias("key")).union(stars.select(F.col("centre").alias("key"))).distinct()
@@ -249,7 +251,7 @@ def near_duplicate_components(held: DataFrame, part: int = 85, whole: int = 100,
         linked = materialize(connected_components(late.union(first.select("node", "component"))), "op9-linked")
     release(spark)
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("component"))
-    of_comp = comp.groupBy("component").agg(F.min("least").alias("first"))
+    of_comp = materialize(comp.groupBy("component").agg(F.min("least").alias("first")), "op9-of-comp")
     found = materialize(comp.join(of_comp, "component").select("f1", "f2", "n", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")), "op9-found")
     out = some.select("key", "doc_id", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left").select("key", "doc_id", "n", "component_id", "first_key")
     alone = signed.filter("n = 0").select("key", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("key").alias("first_key"))
