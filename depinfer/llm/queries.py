@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depinfer.llm import op1_token_orc, op5_suffix_dedup, op9_minhash
+from depinfer.llm import op1_token_orc, op5_suffix_dedup, op7_packing, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -18,6 +18,10 @@ def op5_suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def queries() -> dict:
     return {
         "op1_token_orc": op1_token_orc_query,
         "op5_suffix_dedup": op5_suffix_dedup_query,
+        "op7_packing": op7_packing_query,
         "op9_minhash": op9_minhash_query,
     }
 
