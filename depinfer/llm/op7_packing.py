@@ -5,7 +5,7 @@ one rest.  Piece lengths are counted by class (multiples of ``grain``, rounded
 up).  A linear program over patterns (which classes share a sequence) covers all
 pieces with the fewest sequences: its columns come from a knapsack dynamic
 program priced by the duals, until no pattern pays or the bound is reached.
-Rounded-down patterns are used as often as the program says, what remains is
+Patterns are used as often as the program says, rounded down; what remains is
 packed first-fit by falling class.  Pieces are ranked within their class, and a
 rank gives a piece its pattern, sequence and slot.
 
@@ -89,26 +89,57 @@ def _best_pattern(sizes, values, capacity: int):
     return pattern, best[capacity]
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, most: int = 5000) -> list[tuple[dict[int, int], int]]:
+def _first_fit(sizes, left, capacity: int) -> list:
+    """``(pattern, times)`` of first-fit by falling class; a pattern serves as often as it repeats."""
+    import numpy as np
+
+    left, plans = left.copy(), []
+    while left.any():
+        free, pattern = capacity, np.zeros(len(sizes), np.int64)
+        for k in np.flatnonzero(left):
+            if sizes[k] <= free:
+                pattern[k] = min(left[k], free // sizes[k])
+                free -= pattern[k] * sizes[k]
+                if not free:
+                    break
+        n = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        plans.append((pattern, n))
+        left -= n * pattern
+    return plans
+
+
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, pricings: int = 40, most: int = 5000) -> list[tuple[dict[int, int], int]]:
     """``(pattern, times)``; a pattern maps a class to its pieces in one sequence.
 
-    ``demand`` maps a class (its size in grains) to its number of pieces.
+    ``demand`` maps a class (its size in grains) to its number of pieces.  The
+    simplex method starts with the columns of a first-fit plan; when none of
+    those pays any more, the knapsack prices new ones.
     """
     import numpy as np
 
     sizes = np.array(sorted((s for s, n in demand.items() if n > 0), reverse=True), np.int64)
     if not len(sizes):
         return []
-    need = np.array([demand[int(s)] for s in sizes], float)
-    m = len(sizes)
+    need = np.array([demand[int(s)] for s in sizes], np.int64)
+    plain = _first_fit(sizes, need, capacity)
+    pool = np.array([p for p, _ in plain], float)
     columns = np.diag(capacity // sizes).astype(float)
     inverse, x = np.diag(1.0 / np.diag(columns)), need / np.diag(columns)
+    bound, priced = float(need @ sizes) / capacity, 0
     for _ in range(most):
         duals = inverse.sum(axis=0)
-        pattern, value = _best_pattern(sizes, duals, capacity)
-        # Farley's bound: no plan is below (the plan's value) / (the best pattern's value).
-        if value <= 1 + gap:
+        if x.sum() <= bound * (1 + gap):
             break
+        worth = pool @ duals
+        pattern = pool[int(np.argmax(worth))]
+        if worth.max() <= 1 + 1e-9:
+            pattern, value = _best_pattern(sizes, duals, capacity)
+            priced += 1
+            # Farley's bound: no plan is below (the plan's value) / (the best pattern's value).
+            bound = max(bound, x.sum() / max(value, 1.0))
+            if value <= 1 + gap or priced > pricings:
+                break
+            pool = np.vstack([pool, pattern])
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -119,26 +150,18 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, mos
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-    times = np.floor(x + 1e-6).astype(np.int64)
-    plans: list[tuple[dict[int, int], int]] = []
-    left = need.astype(np.int64)
-    for k in range(m):
+    times, left, plans = np.floor(x + 1e-6).astype(np.int64), need.copy(), []
+    for k in range(len(sizes)):
         pattern = columns[:, k].astype(np.int64)
         # Rounding never places more pieces than there are.
         n = int(min([times[k], *(left[pattern > 0] // pattern[pattern > 0])]))
         if n > 0:
-            plans.append(({int(s): int(c) for s, c in zip(sizes, pattern) if c}, n))
+            plans.append((pattern, n))
             left -= n * pattern
-    while left.any():
-        # First-fit by falling class over the remains, one pattern as often as it repeats.
-        free, pattern = capacity, np.zeros(m, np.int64)
-        for k in range(m):
-            pattern[k] = min(left[k], free // sizes[k])
-            free -= pattern[k] * sizes[k]
-        n = int((left[pattern > 0] // pattern[pattern > 0]).min())
-        plans.append(({int(s): int(c) for s, c in zip(sizes, pattern) if c}, n))
-        left -= n * pattern
-    return plans
+    plans += _first_fit(sizes, left, capacity)
+    if sum(n for _, n in plain) < sum(n for _, n in plans):
+        plans = plain
+    return [({int(s): int(c) for s, c in zip(sizes, p) if c}, n) for p, n in plans]
 
 
 def _slots(plans: list[tuple[dict[int, int], int]]) -> dict:
@@ -178,7 +201,7 @@ def _place_of(slots):
     return place
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, grain: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, grain: int = 2) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece."""
     spark = docs.sparkSession
     tokenizer = broadcast_tokenizer(spark, tokenizer_path or default_tokenizer())
