@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depinfer.llm import op1_token_orc, op5_suffix_dedup, op7_packing, op9_minhash
+from depinfer.llm import op1_token_orc, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -22,6 +22,10 @@ def op7_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def queries() -> dict:
         "op1_token_orc": op1_token_orc_query,
         "op5_suffix_dedup": op5_suffix_dedup_query,
         "op7_packing": op7_packing_query,
+        "op8_quality": op8_quality_query,
         "op9_minhash": op9_minhash_query,
     }
 
