@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depinfer.llm import op1_token_orc, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
+from depinfer.llm import op1_token_orc, op2_decontaminate, op3_licenses, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -14,6 +14,14 @@ def op1_token_orc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_orc.token_digests(op1_token_orc.read_token_orc(spark, path))
 
 
+def op2_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op3_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op9_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_orc": op1_token_orc_query,
+        "op2_decontaminate": op2_decontaminate_query,
+        "op3_licenses": op3_licenses_query,
         "op5_suffix_dedup": op5_suffix_dedup_query,
         "op7_packing": op7_packing_query,
         "op8_quality": op8_quality_query,
