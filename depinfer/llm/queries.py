@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depinfer.llm import op1_token_orc, op2_decontaminate, op3_licenses, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
+from depinfer.llm import op1_token_orc, op10_topk, op2_decontaminate, op3_licenses, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -38,6 +38,26 @@ def op9_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+#: The exact search in SQL: integer components, every query against every other row.
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_orc": op1_token_orc_query,
@@ -47,8 +67,9 @@ def queries() -> dict:
         "op7_packing": op7_packing_query,
         "op8_quality": op8_quality_query,
         "op9_minhash": op9_minhash_query,
+        "op10_topk": op10_topk_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": OP10_SQL}
