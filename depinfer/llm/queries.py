@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from depinfer.llm import op1_token_orc, op10_topk, op2_decontaminate, op3_licenses, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
+from depinfer.llm import op1_token_orc, op10_topk, op2_decontaminate, op3_licenses, op5_suffix_dedup, op6_warc, op7_packing, op8_quality, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -26,6 +27,30 @@ def op5_suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = op6_warc.write_warc(table(spark, sf_dir, "pages"), work_dir(spark, "op6-warc"))
+    captures = op6_warc.assemble_transactions(op6_warc.read_warc(manifest, with_payload=False))
+    return captures.select(
+        F.col("metadata")["page-id"].cast("long").alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("response.type").alias("record_type"),
+        F.col("metadata")["refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM m
+"""
+
+
 def op7_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,6 +89,7 @@ def queries() -> dict:
         "op2_decontaminate": op2_decontaminate_query,
         "op3_licenses": op3_licenses_query,
         "op5_suffix_dedup": op5_suffix_dedup_query,
+        "op6_warc": op6_warc_query,
         "op7_packing": op7_packing_query,
         "op8_quality": op8_quality_query,
         "op9_minhash": op9_minhash_query,
@@ -72,4 +98,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_topk": OP10_SQL}
