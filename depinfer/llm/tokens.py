@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 from depinfer.llm.common import process_cache, ship
 
 #: Chunks that one Python worker keeps; beyond it only those of the current slice stay, so memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Characters of text that are encoded together; a longer text is a slice of its own.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 9_000_000
+#: Ids that are put together at a time.
+GATHER = 1 << 20
 
 _TWO_SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
 _CHUNK_STARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -48,29 +50,31 @@ class Encoder:
         """The ids of chunks that follow a space, or begin with a line feed."""
         known = self.known
         found = list(map(known.get, words))
-        new = [w for w, x in zip(words, found) if x is None]
+        new = [i for i, x in enumerate(found) if x is None]
         if not new:
             return found
         if len(known) + len(new) > CACHE_WORDS:
             known = self.known = {w: x for w, x in zip(words, found) if x is not None}
-        stems, marked = [], []
-        for w in new:
+        letters, others, marked = set(), set(), []
+        for i in new:
+            w = words[i]
             stem = w.rstrip(".,")
             if len(stem) != len(w) and stem and stem[-1].isalpha():
-                marked.append((w, stem, w[len(stem) :]))
-                stems.append(stem)
-            else:
-                stems.append(w)
-        stems = set(stems)
-        stems.difference_update(known)
-        letters = [w for w in stems if w.isalpha()]
+                marked.append((i, stem, w[len(stem) :]))
+                w = stem
+                if w in known:
+                    continue
+            (letters if w.isalpha() else others).add(w)
+        letters, others = list(letters), list(others)
         known.update(zip(letters, self._batch([" " + w for w in letters], self.letters)))
-        others = [w for w in stems if not w.isalpha()]
         known.update(zip(others, self._batch([w if w[:1] == "\n" else " " + w for w in others])))
         marks = list({mark for _, _, mark in marked})
         marks = dict(zip(marks, self._batch(marks)))
-        known.update((w, known[stem] + marks[mark]) for w, stem, mark in marked)
-        return list(map(known.__getitem__, words))
+        for i, stem, mark in marked:
+            known[words[i]] = known[stem] + marks[mark]
+        for i in new:
+            found[i] = known[words[i]]
+        return found
 
     def encode(self, texts, end_id: int):
         """``(offsets, ids)`` of a string array without nulls; each text's ids end with ``end_id``."""
@@ -84,7 +88,7 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         flat, bounds = lists.flatten(), np.diff(lists.offsets.to_numpy())
         coded = flat.dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.cumsum(bounds) - bounds
         # A text's first chunk follows no space, and texts that can't be split go whole, or by safe places: both get entries of their own.
         extra = [self._batch(flat.take(pa.array(first)).to_pylist())]
@@ -102,7 +106,12 @@ class Encoder:
         at = (np.cumsum(size) - size)[index]
         n = size[index]
         done = np.cumsum(n)
-        ids = store[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(at - (done - n), n)]
+        ids = np.empty(int(done[-1]) if len(done) else 0, np.uint32)
+        edges = [0, *(np.flatnonzero(np.diff(done // GATHER)) + 1).tolist(), len(done)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                first = int(done[a] - n[a])
+                ids[first : int(done[b - 1])] = store[np.arange(first, int(done[b - 1])) + np.repeat(at[a:b] - (done[a:b] - n[a:b]), n[a:b])]
         return np.concatenate([[0], done[ends + np.arange(len(ends))]]).astype(np.int64), ids
 
     def slices(self, batch):
