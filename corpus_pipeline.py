@@ -1,7 +1,56 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Five stages, each written as Parquet and read again by the next: documents of
+low quality go, one document of each near-duplicate group stays, repeated byte
+strings are removed from the texts, documents that leak benchmark items go, and
+the rest is tokenised and packed.  All stages but the last return the columns of
+``documents``.  SQL can't express the classifier, the byte strings or the linear
+program, so there is no oracle; ``tests/llm`` holds each stage against a
+brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from depinfer.llm import op2_decontaminate, op5_suffix_dedup, op7_packing, op8_quality, op9_minhash
+from depinfer.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op8_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op9_minhash.deduplicate(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_suffix_dedup.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op2_decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op7_packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depinfer.llm import op1_token_orc, op10_topk, op2_decontaminate, op3_licenses, op5_suffix_dedup, op6_warc, op7_packing, op8_quality, op9_minhash
+from depinfer.llm import op1_token_orc, op10_topk, op2_decontaminate, op3_licenses, op4_extract, op5_suffix_dedup, op6_warc, op7_packing, op8_quality, op9_minhash
 from depinfer.llm.common import table, work_dir
 
 
@@ -23,6 +23,10 @@ def op3_licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_extract_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def queries() -> dict:
         "op1_token_orc": op1_token_orc_query,
         "op2_decontaminate": op2_decontaminate_query,
         "op3_licenses": op3_licenses_query,
+        "op4_extract": op4_extract_query,
         "op5_suffix_dedup": op5_suffix_dedup_query,
         "op6_warc": op6_warc_query,
         "op7_packing": op7_packing_query,
