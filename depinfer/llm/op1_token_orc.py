@@ -54,7 +54,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     (
         ordered.mapInArrow(_encoder_of(tokenizer, end_id), FILE_SCHEMA)
         .write.format("orc")
-        .options(**{"orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "compression": "zstd"})
+        .options(**{"orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "compression": "snappy"})
         .save(path)
     )
 

@@ -57,17 +57,22 @@ def normalised_words(text):
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _bigrams(rows: DataFrame, *keep) -> DataFrame:
-    """``keep, bigram`` for each two neighbouring words of ``words`` (at least two)."""
-    placed = rows.select(*keep, "words", F.explode(F.expr("sequence(0, size(words) - 2)")).alias("at"))
+def _bigrams(rows: DataFrame, carried, keep, wanted: str = "true") -> DataFrame:
+    """``keep, bigram`` for each two neighbouring words of ``words``, where ``wanted`` holds.
+
+    The outer explode keeps the optimizer from filtering by the exploded array
+    below it, which would compute the words anew for each such filter.
+    """
+    places = F.expr(f"if(size(words) >= 2 and ({wanted}), sequence(0, size(words) - 2), cast(array() as array<int>))")
+    placed = rows.select(*carried, "words", F.explode_outer(places).alias("at")).filter("at is not null")
     return placed.select(*keep, F.xxhash64(F.expr("words[at]"), F.expr("words[at + 1]")).alias("bigram"))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``template, license, size, bigram, times``: the bigrams of each template."""
     named = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
-    rows = named.withColumn("words", normalised_words(F.col("text"))).filter("size(words) >= 2").withColumn("size", F.expr("size(words) - 1"))
-    return _bigrams(rows, "template", "license", "size").groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("times"))
+    rows = named.withColumn("words", normalised_words(F.col("text")))
+    return _bigrams(rows, ["template", "license"], ["template", "license", F.expr("size(words) - 1").alias("size")]).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("times"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -88,11 +93,12 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
         F.when(F.col("text").rlike(r"\n\s*\n"), F.transform(F.split("text", r"\n\s*\n"), lambda x: F.struct(F.lit(1).alias("unit"), x.alias("said")))).otherwise(F.expr("array()")),
         F.when(F.instr("text", "\n") > 0, F.transform(lines, lambda x: F.struct(F.lit(2).alias("unit"), x.alias("said")))).otherwise(F.expr("array()")),
     )
-    said = rows.select("doc_id", F.posexplode(units).alias("place", "u")).select("doc_id", "place", "u.unit", "u.said").filter((F.length("said") >= least) & (F.length("said") <= most))
+    said = rows.select("doc_id", F.posexplode_outer(units).alias("place", "u")).select("doc_id", "place", "u.unit", "u.said").filter((F.length("said") >= least) & (F.length("said") <= most))
     counted = known.select("size").distinct().collect()
     bounds = " or ".join(f"size(words) - 1 between {low * r['size']} and {high * r['size']}" for r in counted) or "false"
-    words = said.select("doc_id", "place", "unit", F.xxhash64("said").alias("key"), normalised_words(F.col("said")).alias("words")).filter(f"size(words) >= 2 and ({bounds})")
-    hits = _bigrams(words, "doc_id", "place", "unit", "key", F.expr("size(words) - 1").alias("n")).join(F.broadcast(known), "bigram")
+    words = said.select("doc_id", "place", "unit", F.xxhash64("said").alias("key"), normalised_words(F.col("said")).alias("words"))
+    carried = ["doc_id", "place", "unit", "key"]
+    hits = _bigrams(words, carried, [*carried, F.expr("size(words) - 1").alias("n")], bounds).join(F.broadcast(known), "bigram")
     hits = hits.filter(f"n between {low} * size and {high} * size")
     shared = hits.groupBy("doc_id", "place", "unit", "key", "n", "template", "license", "size", "bigram").agg(F.least(F.count("*"), F.first("times")).alias("both"))
     dice = shared.groupBy("doc_id", "place", "unit", "key", "n", "template", "license", "size").agg((2 * F.sum("both") / (F.col("n") + F.col("size"))).alias("dice")).filter(F.col("dice") >= threshold)
