@@ -88,7 +88,7 @@ def test_op1_empty(spark, tmp_path):
 
 
 def test_op7_pieces_and_sequences(spark, tokenizer):
-    rows = [*ODD, *map(tuple, table(spark, "documents").select("doc_id", "text").collect())]
+    rows = [*ODD, *((i + 1000, x) for i, x in table(spark, "documents").select("doc_id", "text").collect())]
     got = op7_packing.pack(docs(spark, rows)).toPandas()
     assert got.length.sum() == sum(len(encoded(tokenizer, x, 1)) for _, x in rows)
     by_id = {i: encoded(tokenizer, x, 1) for i, x in rows if i not in (None, 53)}
@@ -145,7 +145,7 @@ def test_op2_query_against_brute_force(spark):
 
 
 def test_op3_query_and_odd_texts_against_brute_force(spark):
-    rows = [*ODD, *map(tuple, table(spark, "documents").select("doc_id", "text").collect()), (900, "Intro.\n\n" + op3_licenses.TEMPLATES[3][1].replace(", ", ",\n") + "\n\nEnd."), (901, "licensed UNDER the apache license version 2.0")]
+    rows = [*ODD, *((i + 1000, x) for i, x in table(spark, "documents").select("doc_id", "text").collect()), (900, "Intro.\n\n" + op3_licenses.TEMPLATES[3][1].replace(", ", ",\n") + "\n\nEnd."), (901, "licensed UNDER the apache license version 2.0")]
     got = {(r.doc_id, r.license): r.dice for r in op3_licenses.scan_licenses(docs(spark, rows)).collect()}
     assert got == brute.licenses(rows, op3_licenses.TEMPLATES) and (900, "MIT") in got
     assert op3_licenses.scan_licenses(docs(spark, [])).count() == 0
