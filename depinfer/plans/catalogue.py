@@ -67,17 +67,17 @@ def degree_per_node(spark, d):
     return G.degrees(X.customers(spark, d), G.symmetrise(X.chain(spark, d)))
 
 
-_DIRECT = "SELECT id, round(coalesce(avg(v), 0), 6) AS x2 FROM (SELECT n.id, m.x2 AS v FROM nodes n LEFT JOIN {pairs} ON src = n.id LEFT JOIN nodes m ON m.id = dst) GROUP BY id"
+_DIRECT = "SELECT id, round(coalesce(avg(v), 0), 11) AS x2 FROM (SELECT n.id, m.x2 AS v FROM nodes n LEFT JOIN {pairs} ON src = n.id LEFT JOIN nodes m ON m.id = dst) GROUP BY id"
 
 
 @query(X.sql(X.NODES, X.CHAIN, select=_DIRECT.format(pairs="sym")))
 def neighbour_mean_d1(spark, d):
-    return G.neighbour_mean(X.customers(spark, d), G.symmetrise(X.chain(spark, d)), ["x2"]).select("id", r("x2").alias("x2"))
+    return G.neighbour_mean(X.customers(spark, d), G.symmetrise(X.chain(spark, d)), ["x2"]).select("id", r("x2", 11).alias("x2"))
 
 
 @query(X.sql(X.NODES, X.CHAIN, X.BALL2, "shell AS (SELECT i AS src, j AS dst FROM ball WHERE d = 2)", select=_DIRECT.format(pairs="shell")))
 def neighbour_mean_d2(spark, d):
-    return G.neighbour_mean(X.customers(spark, d), X.chain(spark, d), ["x2"], distance=2).select("id", r("x2").alias("x2"))
+    return G.neighbour_mean(X.customers(spark, d), X.chain(spark, d), ["x2"], distance=2).select("id", r("x2", 11).alias("x2"))
 
 
 _SHARED = """l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem
@@ -85,10 +85,10 @@ _SHARED = """l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem
 ), sym AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"""
 
 
-@query(X.sql(_SHARED, select="SELECT p_partkey AS id, round(coalesce(v, 0), 6) AS price FROM part LEFT JOIN (SELECT src, sum(weight * p_retailprice) / sum(weight) AS v FROM sym JOIN part ON p_partkey = dst GROUP BY src) ON src = p_partkey"))
+@query(X.sql(_SHARED, select="SELECT p_partkey AS id, round(coalesce(v, 0), 9) AS price FROM part LEFT JOIN (SELECT src, sum(weight * p_retailprice) / sum(weight) AS v FROM sym JOIN part ON p_partkey = dst GROUP BY src) ON src = p_partkey"))
 def neighbour_mean_weighted(spark, d):
     parts = X.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    return G.neighbour_mean(parts, G.symmetrise(X.shared_orders(spark, d), "weight"), ["price"], weight="weight").select("id", r("price").alias("price"))
+    return G.neighbour_mean(parts, G.symmetrise(X.shared_orders(spark, d), "weight"), ["price"], weight="weight").select("id", r("price", 9).alias("price"))
 
 
 @query(X.sql(X.NODES, X.CHAIN, X.DEGREES, select="SELECT src, dst, round(1 / greatest(degree, 1), 9) AS w FROM sym JOIN deg ON id = src"))
