@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from depinfer.llm.common import process_cache, ship
 
 #: Chunks that one Python worker keeps; beyond it only those of the current slice stay, so memory is bounded.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Characters of text that are encoded together; a longer text is a slice of its own.
-SLICE_CHARS = 9_000_000
+SLICE_CHARS = 7_000_000
 #: Ids that are put together at a time.
 GATHER = 1 << 20
 
@@ -44,7 +44,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        encode, out = (tokenizer or self.tokenizer).encode_batch_fast, []
+        # The library's results are large: a few thousand at a time.
+        for at in range(0, len(texts), 8192):
+            out += [array("I", e.ids).tobytes() for e in encode(texts[at : at + 8192], add_special_tokens=False)]
+        return out
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of chunks that follow a space, or begin with a line feed."""
@@ -112,6 +116,7 @@ class Encoder:
             if a < b:
                 first = int(done[a] - n[a])
                 ids[first : int(done[b - 1])] = store[np.arange(first, int(done[b - 1])) + np.repeat(at[a:b] - (done[a:b] - n[a:b]), n[a:b])]
+        pa.default_memory_pool().release_unused()
         return np.concatenate([[0], done[ends + np.arange(len(ends))]]).astype(np.int64), ids
 
     def slices(self, batch):
