@@ -67,17 +67,17 @@ def degree_per_node(spark, d):
     return G.degrees(X.customers(spark, d), G.symmetrise(X.chain(spark, d)))
 
 
-_DIRECT = "SELECT id, round(coalesce(avg(v), 0), 11) AS x2 FROM (SELECT n.id, m.x2 AS v FROM nodes n LEFT JOIN {pairs} ON src = n.id LEFT JOIN nodes m ON m.id = dst) GROUP BY id"
+_DIRECT = "SELECT id, round(coalesce(avg(v), 0), 8) AS y FROM (SELECT n.id, m.y AS v FROM nodes n LEFT JOIN {pairs} ON src = n.id LEFT JOIN nodes m ON m.id = dst) GROUP BY id"
 
 
 @query(X.sql(X.NODES, X.CHAIN, select=_DIRECT.format(pairs="sym")))
 def neighbour_mean_d1(spark, d):
-    return G.neighbour_mean(X.customers(spark, d), G.symmetrise(X.chain(spark, d)), ["x2"]).select("id", r("x2", 11).alias("x2"))
+    return G.neighbour_mean(X.customers(spark, d), G.symmetrise(X.chain(spark, d)), ["y"]).select("id", r("y", 8).alias("y"))
 
 
 @query(X.sql(X.NODES, X.CHAIN, X.BALL2, "shell AS (SELECT i AS src, j AS dst FROM ball WHERE d = 2)", select=_DIRECT.format(pairs="shell")))
 def neighbour_mean_d2(spark, d):
-    return G.neighbour_mean(X.customers(spark, d), X.chain(spark, d), ["x2"], distance=2).select("id", r("x2", 11).alias("x2"))
+    return G.neighbour_mean(X.customers(spark, d), X.chain(spark, d), ["y"], distance=2).select("id", r("y", 8).alias("y"))
 
 
 _SHARED = """l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem
