@@ -78,9 +78,26 @@ def text_or_empty(column: str = "text"):
 
 
 def process_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process."""
+    """A dictionary that lives in the Python worker process until another operator asks for its own."""
     module = sys.modules.setdefault("_depinfer_process_cache", types.ModuleType("_depinfer_process_cache"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 ship(__name__)

@@ -37,7 +37,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.llm.common import bucketed, materialize, release, ship, text_or_empty
+from depinfer.llm.common import bucketed, materialize, release, ship, shuffle_partitions, text_or_empty
 
 BLOCKS = (32, 8, 1)
 _SEGMENT = 1 << 16
@@ -224,9 +224,15 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     again = materialize(runs.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-again")
     kept = materialize(runs.join(again, "anchor", "left_semi"), "op5-anchors")
     release(spark)
-    one = F.min(F.struct("key", "lo", "hi", "m"))
-    shapes = materialize(kept.groupBy("anchor", "hull").agg(F.count("*").alias("n"), one.alias("one")), "op5-shapes")
-    whole = kept.join(shapes.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi").select("key", "lo", "hi")
+    # Runs of one shape are listed by blocks of documents before they are counted and joined back, so a shape that
+    # a third of all documents hold is a row for each block, in as many tasks.
+    local = kept.groupBy("anchor", "hull", F.shiftright("key", 8).alias("block"))
+    local = local.agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("one"), F.collect_list(F.struct("key", "lo", "hi")).alias("runs"))
+    local = materialize(local, "op5-local")
+    release(spark)
+    shapes = materialize(local.groupBy("anchor", "hull").agg(F.sum("n").alias("n"), F.min("one").alias("one")), "op5-shapes")
+    whole = local.join(shapes.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi").select("runs")
+    whole = whole.repartition(shuffle_partitions(spark)).select(F.explode("runs").alias("run")).select("run.key", "run.lo", "run.hi")
     found = [materialize(whole, "op5-whole")]
     several = materialize(shapes.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-several")
     todo = shapes.join(several, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("need"))

@@ -30,7 +30,7 @@ from depinfer.llm.common import bucketed, materialize, process_cache, release, s
 from depinfer.llm.components import connected_components
 
 #: Words whose hashes one Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Members of a block when members of one centre are compared.
 BLOCK = 64
 

@@ -8,7 +8,7 @@ from array import array
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from depinfer.llm.common import process_cache, ship
+from depinfer.llm.common import give_back, process_cache, ship
 
 #: Chunks that one Python worker keeps; beyond it only those of the current slice stay, so memory is bounded.
 CACHE_WORDS = 400_000
@@ -116,7 +116,7 @@ class Encoder:
             if a < b:
                 first = int(done[a] - n[a])
                 ids[first : int(done[b - 1])] = store[np.arange(first, int(done[b - 1])) + np.repeat(at[a:b] - (done[a:b] - n[a:b]), n[a:b])]
-        pa.default_memory_pool().release_unused()
+        give_back()
         return np.concatenate([[0], done[ends + np.arange(len(ends))]]).astype(np.int64), ids
 
     def slices(self, batch):
