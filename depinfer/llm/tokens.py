@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from depinfer.llm.common import give_back, process_cache, ship
 
 #: Chunks that one Python worker keeps; beyond it only those of the current slice stay, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Characters of text that are encoded together; a longer text is a slice of its own.
-SLICE_CHARS = 7_000_000
+SLICE_CHARS = 10_000_000
 #: Ids that are put together at a time.
 GATHER = 1 << 20
 
@@ -116,7 +116,6 @@ class Encoder:
             if a < b:
                 first = int(done[a] - n[a])
                 ids[first : int(done[b - 1])] = store[np.arange(first, int(done[b - 1])) + np.repeat(at[a:b] - (done[a:b] - n[a:b]), n[a:b])]
-        give_back()
         return np.concatenate([[0], done[ends + np.arange(len(ends))]]).astype(np.int64), ids
 
     def slices(self, batch):
@@ -130,6 +129,7 @@ class Encoder:
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
         for a, b in zip(edges[:-1], edges[1:]):
             yield batch.slice(a, b - a)
+        give_back()
 
 
 def encoder(json_text: Broadcast) -> Encoder:
