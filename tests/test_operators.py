@@ -94,10 +94,10 @@ def test_hac_against_dense_form_and_fallback(spark):
     got = H.network_hac(df, ["a", "b"], links, 1)
     plain = zc.T @ k @ zc / n
     scaled = k / np.sqrt(k.sum(1))[:, None]
-    expected = plain if (np.linalg.eigvalsh(plain) > 0).all() else zc.T @ (scaled.T @ scaled) @ zc / n
+    expected = plain if (np.linalg.eigvalsh(plain) > 0).all() else zc.T @ (scaled @ scaled.T) @ zc / n
     assert np.allclose(got.matrix, expected)
     pairs = G.ball(df.select("id"), links, 1).select("i", "j")
-    assert np.allclose(H.normalised_kernel_variance(H.demean(df, ["a", "b"]), ["a", "b"], pairs), zc.T @ (scaled.T @ scaled) @ zc / n)
+    assert np.allclose(H.normalised_kernel_variance(H.demean(df, ["a", "b"]), ["a", "b"], pairs), zc.T @ (scaled @ scaled.T) @ zc / n)
     iid = H.network_hac(df, ["a", "b"], b=0)
     assert np.allclose(iid.matrix, zc.T @ zc / n) and not iid.pd_failure
 
