@@ -226,7 +226,7 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     release(spark)
     # Runs of one shape are listed by blocks of documents before they are counted and joined back, so a shape that
     # a third of all documents hold is a row for each block, in as many tasks.
-    local = kept.groupBy("anchor", "hull", F.shiftright("key", 8).alias("block"))
+    local = kept.groupBy("anchor", "hull", F.shiftright("key", 5).alias("block"))
     local = local.agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("one"), F.collect_list(F.struct("key", "lo", "hi")).alias("runs"))
     local = materialize(local, "op5-local")
     release(spark)
