@@ -8,6 +8,14 @@ and an item that share at least ``coverage`` of the item's windows are compared
 slot by slot: a value of the item must stand for one value of the document
 wherever it occurs.  Pairs with too many slots that break this are dropped.
 
+A capitalised word that opens a sentence, line, quotation or bracket may be a
+name or an ordinary word.  Windows with such openers are hashed twice, with the
+words as they are and with all openers as name slots; both kinds are joined, so
+an opener matches itself, any other opener, and a name inside a sentence.  If
+the share is reached only through opener slots, replaced openers that recur must
+pass the slot check too.  In an item below ``width`` words all must, and one that
+the benchmark also has uncapitalised is an ordinary word and fails it.
+
 Items of ``shortest`` to ``width - 1`` words match as one window of their whole
 length; shorter ones say too little and are not searched.  The benchmark's
 windows are counted first: up to ``broadcast_windows`` they are broadcast,
@@ -30,9 +38,10 @@ from depinfer.llm.common import materialize, ship, text_or_empty
 UNITS = "kg|mg|g|lbs|lb|oz|km|cm|mm|m|miles|mile|feet|foot|ft|inches|inch|hours|hour|minutes|minute|min|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|liters|liter|litres|litre|ml|l|percent|degrees|degree"
 
 _NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+"
+_OPENER = r"(?<![\p{L}\p{M}\p{N}\x01-\x05])\p{Lu}\p{Ll}+"
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 _QUANTITY = rf"({_NUMBER}) ?({UNITS})\b"
-_BETWEEN = r"[^\p{L}\p{M}\p{N}\x01-\x04]+"
+_BETWEEN = r"[^\p{L}\p{M}\p{N}\x01-\x05]+"
 _ROW = "xxhash64(doc_id, text)"
 
 
@@ -41,34 +50,49 @@ def _words(text):
 
 
 def _clean(text):
-    return F.regexp_replace(text, r"[\x01-\x04]", " ")
+    return F.regexp_replace(text, r"[\x01-\x05]", " ")
 
 
-def template_words(text):
-    """The words of a text with placeholders for names, numbers and units."""
-    text = F.regexp_replace(_clean(text), _NAME, "\x02")
+def template_line(text):
+    """The words of a text with placeholders for names, numbers and units, in one string; openers are marked."""
+    text = F.regexp_replace(F.regexp_replace(_clean(text), _NAME, "\x02"), _OPENER, "\x05$0")
     text = F.regexp_replace(text, _QUANTITY, "\x01 \x03")
-    return F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _NUMBER, "\x01")), _BETWEEN, " ")), " ")
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _NUMBER, "\x01")), _BETWEEN, " "))
+
+
+def template_words(line):
+    """The words of a :func:`template_line`, openers as they are."""
+    return F.split(F.replace(line, F.lit("\x05"), F.lit("")), " ")
+
+
+def opener_words(line):
+    """The same words with openers as name slots; positions agree."""
+    return F.split(F.regexp_replace(line, "\x05[^ ]*", "\x02"), " ")
 
 
 def marked_words(text):
     """The same words with their values, marked by type; positions agree with :func:`template_words`."""
-    text = F.regexp_replace(_clean(text), _NAME, "\x02$0")
+    text = F.regexp_replace(F.regexp_replace(_clean(text), _NAME, "\x02$0"), _OPENER, "\x05$0")
     text = F.regexp_replace(text, _QUANTITY, "$1 \x03$2")
     text = F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", "\x04")
     return F.split(F.trim(F.regexp_replace(F.lower(text), _BETWEEN, " ")), " ")
 
 
 def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
-    """``keep, at, hash`` for each window of ``width`` of ``words``."""
+    """``keep, at, hash, opened`` for each window of ``width`` of ``words``, and of ``open`` where that differs and is not all placeholders."""
     long_enough = rows.filter(F.size("words") >= width)
-    placed = long_enough.select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {width})")).alias("at"))
-    return placed.select(*keep, "at", F.xxhash64(F.lit(width), *(F.expr(f"words[at + {i}]") for i in range(width))).alias("hash"))
+    placed = long_enough.select(*keep, "words", "open", F.explode(F.expr(f"sequence(0, size(words) - {width})")).alias("at"))
+    hashed = lambda words: F.xxhash64(F.lit(width), *(F.expr(f"{words}[at + {i}]") for i in range(width)))
+    says = F.expr(" or ".join(f"open[at + {i}] > '\x05'" for i in range(width)))
+    both = placed.select(*keep, "at", hashed("words").alias("h"), F.when(says, hashed("open")).alias("g"))
+    plain, opened = F.struct(F.col("h").alias("hash"), F.lit(False).alias("opened")), F.struct(F.col("g").alias("hash"), F.lit(True).alias("opened"))
+    return both.select(*keep, "at", F.explode(F.when(F.col("g") != F.col("h"), F.array(plain, opened)).otherwise(F.array(plain))).alias("w")).select(*keep, "at", "w.hash", "w.opened")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, consistency: float = 0.8, shortest: int = 5, broadcast_windows: int = 1_000_000) -> DataFrame:
     """``row, doc_id, item_id, windows, item_windows, slots, consistent_slots`` per leak."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).withColumn("words", template_words(F.col("text")))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).withColumn("line", template_line(F.col("text")))
+    items = items.withColumn("words", template_words(F.col("line"))).withColumn("open", opener_words(F.col("line")))
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "op2-items")
     sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(width)).alias("n")).distinct().collect()]
     known = None
@@ -77,26 +101,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage:
         known = part if known is None else known.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     if known is None:
-        known = items.select("item", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash")).limit(0)
-    known = materialize(known.select("item", F.col("at").alias("item_at"), "hash"), "op2-windows")
+        known = items.select("item", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("opened")).limit(0)
+    known = materialize(known.select("item", F.col("at").alias("item_at"), "hash", F.col("opened").alias("item_opened")), "op2-windows")
     small = known.count() <= broadcast_windows
-    split = rows.select(F.expr(_ROW).alias("row"), "doc_id", template_words(F.col("text")).alias("words"))
+    split = rows.select(F.expr(_ROW).alias("row"), "doc_id", template_line(F.col("text")).alias("line"))
+    split = split.select("row", "doc_id", template_words(F.col("line")).alias("words"), opener_words(F.col("line")).alias("open"))
     hits = None
     for n in sorted(x for x in sizes if x >= shortest) or [width]:
-        found = _windows(split, n, "row", "doc_id").join(F.broadcast(known) if small else known, "hash").select("row", "doc_id", "item", "at", "item_at")
+        found = _windows(split, n, "row", "doc_id").join(F.broadcast(known) if small else known, "hash").select("row", "doc_id", "item", "at", "item_at", F.expr("if(opened or item_opened, null, item_at)").alias("plain_at"))
         hits = found if hits is None else hits.unionByName(found)
-    counted = hits.groupBy("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.collect_set("item_at").alias("places"))
-    pairs = counted.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max(F.struct(F.size("places").alias("n"), (-F.abs("shift")).alias("near"), "shift")).alias("best"))
-    whole = items.select("item", "item_id", F.greatest(F.size("words") - width + 1, F.lit(1)).alias("item_windows"))
+    counted = hits.groupBy("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.collect_set("item_at").alias("places"), F.collect_set("plain_at").alias("plain"))
+    covered = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places))))
+    pairs = counted.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), covered("places").alias("windows"), covered("plain").alias("plain"), F.max(F.struct(F.size("places").alias("n"), (-F.abs("shift")).alias("near"), "shift")).alias("best"))
+    whole = items.select("item", "item_id", F.greatest(F.size("words") - width + 1, F.lit(1)).alias("item_windows"), (F.size("words") < width).alias("short"))
     pairs = pairs.join(whole, "item").filter(F.col("windows") >= F.lit(coverage) * F.col("item_windows"))
-    pairs = materialize(pairs.select("row", "doc_id", "item", "item_id", "windows", "item_windows", F.col("best.shift").alias("shift")), "op2-pairs")
+    pairs = materialize(pairs.select("row", "doc_id", "item", "item_id", "windows", "item_windows", F.col("best.shift").alias("shift"), "short", (F.col("plain") >= F.lit(coverage) * F.col("item_windows")).alias("plain")), "op2-pairs")
     wanted = materialize(pairs.select("row").distinct(), "op2-rows")
     marked = rows.withColumn("row", F.expr(_ROW)).join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", marked_words(F.col("text")).alias("said"))
     asked = items.select("item", marked_words(F.col("text")).alias("asked"))
-    sides = pairs.select("row", "item", "shift").join(marked, "row").join(asked, "item")
-    slots = sides.select("row", "item", F.expr("explode(transform(filter(sequence(0, size(asked) - 1), i -> i + shift >= 0 and i + shift < size(said) and asked[i] rlike '^[\\\\x02\\\\x03]|\\\\p{N}'), i -> struct(asked[i] as value, said[i + shift] as other)))").alias("s"))
-    of_value = slots.groupBy("row", "item", "s.value").agg(F.count_distinct("s.other").alias("n"))
-    checked = of_value.groupBy("row", "item").agg(F.count("*").alias("slots"), F.count_if(F.col("n") == 1).alias("consistent_slots"))
+    sides = pairs.select("row", "item", "shift", "short", "plain").join(marked, "row").join(asked, "item")
+    slots = sides.select("row", "item", "short", F.expr("explode(transform(filter(sequence(0, size(asked) - 1), i -> i + shift >= 0 and i + shift < size(said) and (asked[i] rlike '^[\\\\x02\\\\x03]|\\\\p{N}' or not plain and asked[i] rlike '^\\\\x05')), i -> struct(asked[i] as asked, translate(asked[i], '\x02\x05', '') as value, translate(said[i + shift], '\x02\x05', '') as other)))").alias("s"))
+    of_value = slots.groupBy("row", "item", "short", "s.value").agg(F.count_distinct("s.other").alias("n"), F.min("s.other").alias("other"), F.count("*").alias("times"), F.bool_and(F.expr("s.asked rlike '^\\\\x05'")).alias("opener"))
+    of_value = of_value.filter("not opener or (times > 1 or short) and (n > 1 or other <> value)")
+    ordinary = materialize(items.select(F.explode(F.split("line", " ")).alias("word")).filter("word >= '\x06'").distinct(), "op2-ordinary")
+    out_of = lambda c: ordinary.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_ordinary"))
+    of_value = of_value.join(out_of("value"), "value", "left").join(out_of("other"), "other", "left")
+    fine = F.expr("n = 1 and not (short and opener and (value_ordinary is not null or other_ordinary is not null))")
+    checked = of_value.groupBy("row", "item").agg(F.count("*").alias("slots"), F.count_if(fine).alias("consistent_slots"))
     out = pairs.join(checked, ["row", "item"], "left").na.fill(0, ["slots", "consistent_slots"])
     out = out.filter(F.col("consistent_slots") >= F.lit(consistency) * F.col("slots"))
     return out.select("row", "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "slots", "consistent_slots")

@@ -138,6 +138,23 @@ def test_op2_finds_reparameterised_items(spark):
     assert op2_decontaminate.find_leaks(docs(spark, rows), items, broadcast_windows=0).count() == 3
 
 
+def test_op2_names_that_open_sentences(spark):
+    maria = "Maria has 5 red apples in her basket. Maria gives 2 of them to Tom. How many apples are left?"
+    weng = "Weng earns 12 dollars an hour for babysitting. Weng worked 50 minutes. Weng then paid 3 dollars. How much did Weng keep?"
+    items = spark.createDataFrame([(1, maria), (2, weng), (3, "Is this a good idea?"), (4, "Kim sold 5 red hats."), (5, "so it is")], "item_id bigint, text string")
+    rows = [
+        (1, maria.replace("Maria", "Olga").replace("5", "9").replace("2", "4").replace("Tom", "Ben")),
+        (2, weng.replace("Weng", "Lars").replace("12", "20").replace("50", "35").replace("3", "8")),
+        (3, "He said:\n\"Olga has 9 red apples in her basket. Olga gives 4 of them to Ben. How many apples are left?\""),
+        (4, "Olga has 9 red apples in her basket. Jim gives 4 of them to Eve. Some many apples are left? Kim has none."),
+        (5, "Was this a good idea?"),
+        (6, "Lea sold 7 red hats."),
+        (7, "what this is a good idea"),
+    ]
+    found = op2_decontaminate.find_leaks(docs(spark, rows), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 2), (3, 1), (6, 4)]
+
+
 def test_op2_query_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op2_decontaminate"](spark, SMALL).collect()}
     pick = lambda name, key: [tuple(r) for r in table(spark, name).select(key, "text").collect()]
