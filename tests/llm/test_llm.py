@@ -237,6 +237,16 @@ def test_op9_against_brute_force(spark):
     assert op9_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pipeline_links_near_duplicates_from_080(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles each; n changed words at the end leave 100 - n shared: 90/110 = 0.818 and 87/113 = 0.770.
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-10] + [f"x{i}" for i in range(10)])), (3, " ".join([f"v{i}" for i in range(13)] + words[13:]))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), SMALL).collect()) == [1, 3]
+    assert op9_minhash.deduplicate(docs(spark, rows)).count() == 3
+
+
 def test_late_links_are_found_in_small_blocks(spark, monkeypatch):
     """A chain in which most members are too far from the centre."""
     words = [f"v{i}" for i in range(200)]
