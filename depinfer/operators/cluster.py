@@ -13,6 +13,10 @@ from depinfer.operators.hac import cross_product, demean
 
 #: Nodes up to which a spectrum is computed densely on the driver (8 n**2 bytes).
 DENSE_NODES = 5_000
+#: Entries of the Laplacian up to which its sparse products are made on the driver (24 bytes each).
+SPARSE_ENTRIES = 4_000_000
+#: Cycles of filter and Rayleigh-Ritz before eigenvectors are given up.
+CYCLES = 100
 
 
 def conductance(clusters: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -86,47 +90,141 @@ def spectrum_histogram(values: DataFrame, bins: int = 20) -> DataFrame:
     return every.join(counts, "bin", "left").na.fill(0, ["n"]).select("bin", (F.col("bin") * width).alias("lo"), ((F.col("bin") + 1) * width).alias("hi"), "n")
 
 
-def _subspace(nodes: DataFrame, edges: DataFrame, k: int, weight: str | None, rounds: int):
-    """The ``k`` smallest eigenvectors by subspace iteration of ``2 I - L``: one sparse product a round, k x k on the driver."""
+class _Local:
+    """Blocks of vectors as arrays on the driver, in id order."""
+
+    def __init__(self, ids, src, dst, values, m: int):
+        import numpy as np
+
+        order = np.argsort(src, kind="stable")
+        self.m, self.n, self.at, self.value = m, len(ids), dst[order], values[order][:, None]
+        self.rows, self.starts = np.unique(src[order], return_index=True)
+
+    def start(self):
+        import numpy as np
+
+        return np.random.default_rng(0).normal(size=(self.n, self.m))
+
+    def product(self, x):
+        import numpy as np
+
+        out = np.zeros_like(x)
+        out[self.rows] = np.add.reduceat(self.value * x[self.at], self.starts)
+        return out
+
+    def sum(self, *terms):
+        return sum(c * x for c, x in terms)
+
+    def gram(self, x, y):
+        return x.T @ y
+
+    def turn(self, x, matrix):
+        return x @ matrix
+
+
+class _Spread:
+    """The same blocks as tables ``id, v0, v1, ...``; only matrices of the block's width reach the driver."""
+
+    def __init__(self, nodes: DataFrame, entries: DataFrame, m: int):
+        self.nodes, self.entries, self.names = nodes, entries, [f"v{i}" for i in range(m)]
+
+    def start(self):
+        from depinfer.functions import rng
+
+        return cut(self.nodes.select("id", *(rng.normal(f"subspace{i}", F.col("id")).alias(c) for i, c in enumerate(self.names))))
+
+    def product(self, x):
+        return cut(G.spmv(self.nodes, self.entries, x, self.names, "value"))
+
+    def sum(self, *terms):
+        out, parts = self.nodes.select("id"), {c: F.lit(0.0) for c in self.names}
+        for i, (factor, x) in enumerate(terms):
+            out = out.join(x.select("id", *(F.col(c).alias(f"{c}_{i}") for c in self.names)), "id")
+            for j, c in enumerate(self.names):
+                parts[c] = parts[c] + F.col(f"{c}_{i}") * float(factor if isinstance(factor, float) else factor[j])
+        return cut(out.select("id", *(v.alias(c) for c, v in parts.items())))
+
+    def gram(self, x, y):
+        return cross_product(x.join(y.select("id", *(F.col(c).alias(f"{c}_y") for c in self.names)), "id"), self.names, [f"{c}_y" for c in self.names])
+
+    def turn(self, x, matrix):
+        return cut(x.select("id", *(sum((F.col(c) * float(matrix[i, j]) for i, c in enumerate(self.names)), F.lit(0.0)).alias(self.names[j]) for j in range(len(self.names)))))
+
+
+def _smallest(on, k: int):
+    """The ``k`` smallest eigenvalues of the normalised Laplacian and a block whose first ``k`` columns are their vectors.
+
+    Chebyshev-filtered subspace iteration: a polynomial that is small from the
+    block's largest Ritz value up to 2, then Rayleigh-Ritz.  It ends when the
+    residuals are far below the gap after the ``k``-th value, and raises if that
+    is not reached.
+    """
     import numpy as np
 
-    from depinfer.functions import rng
+    x, bound = on.start(), None
+    for _ in range(CYCLES):
+        if bound is not None:
+            centre, half = (2.0 + bound) / 2, (2.0 - bound) / 2
+            first = sigma = -half / centre
+            y = on.sum((sigma / half, on.product(x)), (-centre * sigma / half, x))
+            for _ in range(int(np.clip(np.ceil(8 / np.sqrt(2 * bound)), 10, 2000)) - 1):
+                step = 1 / (2 / first - sigma)
+                x, y, sigma = y, on.sum((2 * step / half, on.product(y)), (-2 * centre * step / half, y), (-sigma * step, x)), step
+            x = y
+        for _ in range(2):
+            values, vectors = np.linalg.eigh(on.gram(x, x))
+            x = on.turn(x, vectors / np.sqrt(np.maximum(values, 1e-15 * values[-1])))
+        z = on.product(x)
+        inner = on.gram(x, z)
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        x, z = on.turn(x, vectors), on.turn(z, vectors)
+        rest = on.sum((1.0, z), (-values, x))
+        errors = np.sqrt(np.maximum(np.diag(on.gram(rest, rest))[:k], 0.0))
+        gap = values[k] - values[k - 1] if len(values) > k else 1.0
+        if errors.max() <= max(1e-5 * gap, 1e-12):
+            return values[:k], x
+        bound = float(np.clip(values[-1], 1e-9, 1.9))
+    raise ValueError(f"eigenvectors did not converge: residual {errors.max():.1e} at a gap of {gap:.1e}")
+
+
+def _eigenvectors(inside: DataFrame, links: DataFrame, k: int, weight: str | None) -> DataFrame:
+    """``id, v``: the entries of the ``k`` smallest eigenvectors; the largest entry of each is positive."""
+    import numpy as np
 
-    names = [f"v{i}" for i in range(k)]
-    matrix = cut(G.laplacian(nodes, edges, weight).select("src", "dst", (-F.col("value") + F.when(F.col("src") == F.col("dst"), 2.0).otherwise(0.0)).alias("w")))
-    x = cut(nodes.select("id", *(rng.normal(f"subspace{i}", F.col("id")).alias(c) for i, c in enumerate(names))))
-    for _ in range(rounds):
-        y = cut(G.spmv(nodes, matrix, x, names, "w"))
-        values, vectors = np.linalg.eigh(cross_product(y, names, names))
-        turn = vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
-        x = y.select("id", *(sum((F.col(c) * float(turn[i, j]) for i, c in enumerate(names)), F.lit(0.0)).alias(names[j]) for j in range(k)))
-    return x, names
+    spark, n = inside.sparkSession, inside.count()
+    m = min(n, 4 * k + 16)
+    entries = None if n <= DENSE_NODES else cut(G.laplacian(inside, links, weight))
+    if entries is not None and entries.count() > SPARSE_ENTRIES:
+        _, x = _smallest(_Spread(inside, entries, m), k)
+        names = [f"v{i}" for i in range(k)]
+        sign = x.agg(*(F.signum(F.max_by(c, F.struct(F.abs(c), -F.col("id")))).alias(c) for c in names)).first()
+        return x.select("id", F.array(*(F.col(c) * float(sign[c]) for c in names)).alias("v"))
+    if entries is None:
+        ids, matrix = _dense(inside, links, weight)
+        _, vectors = np.linalg.eigh(matrix)
+    else:
+        ids, table = np.sort(inside.select("id").toPandas()["id"].to_numpy()), entries.orderBy("src", "dst").toPandas()
+        at = [np.searchsorted(ids, table[c].to_numpy()) for c in ("src", "dst")]
+        _, vectors = _smallest(_Local(ids, *at, table["value"].to_numpy(), m), k)
+    x = vectors[:, :k]
+    # The sign of an eigenvector is free: make the largest entry positive.
+    x = x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])])
+    return spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "id bigint, v array<double>")
 
 
 def spectral_clustering(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 0, weight: str | None = None, restarts: int = 30) -> DataFrame:
     """``id, cluster``: k-means on row-normalised eigenvectors of the giant component; others get label ``k``.
 
     Up to ``DENSE_NODES`` nodes the eigenvectors come from a dense solver, beyond
-    that from subspace iteration; k-means runs on the executors.
+    that from filtered subspace iteration to a residual far below the gap, with
+    sparse products on the driver up to ``SPARSE_ENTRIES`` entries and on the
+    executors beyond; k-means runs on the executors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    import numpy as np
-
-    spark = nodes.sparkSession
     inside = cut(G.giant(G.components(nodes, edges)))
-    links = G.induced(edges, inside)
-    if inside.count() <= DENSE_NODES:
-        ids, matrix = _dense(inside, links, weight)
-        _, vectors = np.linalg.eigh(matrix)
-        x = vectors[:, :k]
-        # The sign of an eigenvector is free: make the largest entry positive.
-        x = x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])])
-        rows = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "id bigint, v array<double>")
-    else:
-        found, names = _subspace(inside, links, k, weight, 200)
-        rows = found.select("id", F.array(*names).alias("v"))
+    rows = _eigenvectors(inside, cut(G.induced(edges, inside)), k, weight)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
     points = cut(rows.select("id", array_to_vector(F.transform("v", lambda a: a / F.greatest(norm, F.lit(1e-300)))).alias("features")))
     best = None

@@ -74,6 +74,21 @@ def test_conductance(spark):
     assert C.max_conductance(found, edges) == pytest.approx(1 / 13)
 
 
+@pytest.mark.parametrize("n, k, sparse", [(900, 4, 10**6), (30, 2, 0)])
+def test_eigenvectors_beyond_the_dense_size(spark, monkeypatch, n, k, sparse):
+    # A path with a few chords has small gaps: 200 rounds of plain iteration are far from its vectors.
+    nodes = spark.range(n)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i, i + 2) for i in range(0, n - 2, 7)], "src bigint, dst bigint")
+    exact = np.array([r.v for r in C._eigenvectors(nodes, edges, k, None).orderBy("id").collect()])
+    monkeypatch.setattr(C, "DENSE_NODES", 10)
+    monkeypatch.setattr(C, "SPARSE_ENTRIES", sparse)
+    found = np.array([r.v for r in C._eigenvectors(nodes, edges, k, None).orderBy("id").collect()])
+    assert np.linalg.svd(exact.T @ found)[1].min() > 1 - 1e-8
+    monkeypatch.setattr(C, "CYCLES", 1)
+    with pytest.raises(ValueError, match="converge"):
+        C._smallest(C._Local(np.arange(4), np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]), np.array([-1.0, -1.0, -0.5, -0.5]), 2), 1)
+
+
 def test_weighted_directed_means_and_rows(spark):
     nodes = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "id bigint, x double")
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 2.0)], "src bigint, dst bigint, w double")
