@@ -81,6 +81,28 @@ def spectrum(nodes: DataFrame, edges: DataFrame, giant: bool = True, weight: str
     return nodes.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "rank bigint, eigenvalue double")
 
 
+def spectrum_moments(nodes: DataFrame, edges: DataFrame, giant: bool = True, weight: str | None = None) -> DataFrame:
+    """``n, total, squares``: how many eigenvalues there are, their sum and that of their squares.
+
+    These are the size, the trace and the sum of the squared entries of the
+    normalised Laplacian, so they need no eigenvalues and no dense matrix.
+    """
+    if giant:
+        nodes = cut(G.giant(G.components(nodes, edges)))
+        edges = G.induced(edges, nodes)
+    entries = G.laplacian(nodes, edges, weight)
+    value = F.col("value")
+    if weight:
+        # The dense form takes the mean of both triangles.
+        pairs = entries.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "value")
+        entries = pairs.groupBy("a", "b").agg(F.sum("value").alias("value")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "value")
+        squares = F.sum(F.when(F.col("src") == F.col("dst"), value * value).otherwise(value * value / 2))
+    else:
+        squares = F.sum(value * value)
+    sums = entries.agg(F.sum(F.when(F.col("src") == F.col("dst"), value)).alias("total"), squares.alias("squares"))
+    return nodes.agg(F.count("*").alias("n")).crossJoin(sums).na.fill(0.0, ["total", "squares"])
+
+
 def spectrum_histogram(values: DataFrame, bins: int = 20) -> DataFrame:
     """``bin, lo, hi, n``: how many eigenvalues lie in each of ``bins`` parts of [0, 2]."""
     width = 2.0 / bins

@@ -428,8 +428,7 @@ def spectrum(spark, d):
 
 @query(X.sql(X.NODES, X.CHAIN, X.REACH, _SPECTRUM, select="SELECT count(*) AS n, round(CAST(count(*) AS DOUBLE), 4) AS total, round(count(*) + (SELECT sum(1.0 / (a.k * b.k)) FROM sym JOIN ds a ON a.src = sym.src JOIN ds b ON b.src = sym.dst), 4) AS squares FROM giant"))
 def spectrum_moments(spark, d):
-    v = C.spectrum(X.customers(spark, d), X.chain(spark, d))
-    return v.agg(F.count("*").alias("n"), r(F.sum("eigenvalue"), 4).alias("total"), r(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 4).alias("squares"))
+    return C.spectrum_moments(X.customers(spark, d), X.chain(spark, d)).select("n", r("total", 4).alias("total"), r("squares", 4).alias("squares"))
 
 
 @query()

@@ -74,6 +74,17 @@ def test_conductance(spark):
     assert C.max_conductance(found, edges) == pytest.approx(1 / 13)
 
 
+def test_spectrum_moments_beyond_the_dense_size(spark, monkeypatch):
+    nodes = spark.range(41)
+    edges = spark.createDataFrame([(i, (i * i + 1) % 40, 1.0 + i % 3) for i in range(39)] + [(i, i + 1, 0.5) for i in range(39)], "src bigint, dst bigint, w double")
+    for weight in (None, "w"):
+        values = np.array([r.eigenvalue for r in C.spectrum(nodes, edges, weight=weight).collect()])
+        with monkeypatch.context() as m:
+            m.setattr(C, "DENSE_NODES", 10)
+            found = C.spectrum_moments(nodes, edges, weight=weight).first()
+        assert tuple(found) == pytest.approx((len(values), values.sum(), (values**2).sum()))
+
+
 @pytest.mark.parametrize("n, k, sparse", [(900, 4, 10**6), (30, 2, 0)])
 def test_eigenvectors_beyond_the_dense_size(spark, monkeypatch, n, k, sparse):
     # A path with a few chords has small gaps: 200 rounds of plain iteration are far from its vectors.
