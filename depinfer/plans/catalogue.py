@@ -438,7 +438,7 @@ def spectrum_histogram(spark, d):
 
 @query()
 def spectral_clusters(spark, d):
-    return C.spectral_clustering(X.customers(spark, d), X.geometric(spark, d), 4, restarts=5)
+    return C.spectral_clustering(X.customers(spark, d), X.geometric(spark, d), 4)
 
 
 # Simulators

@@ -74,6 +74,17 @@ def test_conductance(spark):
     assert C.max_conductance(found, edges) == pytest.approx(1 / 13)
 
 
+def test_spectral_clusters_runs_the_default_restarts(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    from depinfer.plans import catalogue
+
+    fitted, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, *a: fitted.append(self.getSeed()) or fit(self, *a))
+    assert catalogue.queries()["spectral_clusters"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(set(fitted)) == 30
+
+
 def test_spectrum_moments_beyond_the_dense_size(spark, monkeypatch):
     nodes = spark.range(41)
     edges = spark.createDataFrame([(i, (i * i + 1) % 40, 1.0 + i % 3) for i in range(39)] + [(i, i + 1, 0.5) for i in range(39)], "src bigint, dst bigint, w double")
