@@ -1,9 +1,8 @@
-"""Shared plumbing: work folders, written intermediates, code shipping."""
+"""Shared plumbing: written intermediates and their removal, code shipping."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
@@ -11,24 +10,23 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depinfer.functions.storage import work_folder
+
 
 def ship(module_name: str) -> None:
     """Pickle a module's functions by value, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
-def base_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="depinfer-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+#: ``(path, table)`` of what has been written and not removed yet, in order; the table is None for plain files.
+_written: list[tuple[str, str | None]] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{base_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((path, None))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,11 +36,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` has written for these frames; nothing that is still to run may read them."""
+    for x in frames:
+        if path := getattr(x, "work_path", None):
+            _remove(x.sparkSession, path)
+            _written[:] = [w for w in _written if w[0] != path]
+
+
+def mark() -> int:
+    """A point in time for :func:`sweep`."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the work files and tables written since ``since`` but for the paths in ``keep``: once the results are written."""
+    for path, table_name in _written[since:]:
+        if path not in keep:
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+            _remove(spark, path)
+    _written[since:] = [w for w in _written[since:] if w[0] in keep]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work folder through the file system that holds it."""
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -60,6 +83,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark, n = df.sparkSession, shuffle_partitions(df.sparkSession)
     path = work_dir(spark, name)
     table_name = "depinfer_" + path.rsplit("/", 1)[1].replace("-", "_")
+    _written[-1] = (path, table_name)
     df.repartition(n, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table_name)
     release(spark)
     return spark.table(table_name)

@@ -3,31 +3,35 @@
 Every byte covered by a string of ``length`` bytes that also starts anywhere
 else (same document included, matches never cross documents) is removed.
 
-Positions are named by doubling: the name of ``2h`` bytes at ``p`` is that of
-the pair (name of ``h`` bytes at ``p``, name of ``h`` bytes at ``p + h``).  A
-name is a 64-bit mix of the pair, not its rank among all pairs: it tells equal
-strings from different ones just as a rank does, without a global sort.
-Within a document the doubling runs in NumPy; Spark groups positions by name at
-growing offsets and drops those whose name is unique:
-
 1. *Sparse start.*  Of each ``length``-byte window only the leftmost smallest
-   name of ``k`` bytes counts (its anchor).  Equal windows have equal anchors at
-   equal distances, so windows whose anchor is unique are unique.  Neighbouring
-   windows with one anchor form a run; one row stands for about 70 windows.
-2. Runs with equal anchor and equal surroundings are repeated as a whole.
-3. *Doubling.*  Other runs are cut in blocks of 32, then 8, then 1 windows.  A
-   block whose common core (169, 193, then 200 bytes for a length of 200) is
-   unique is dropped; one whose hull occurs elsewhere is repeated as a whole;
-   the rest goes on.  At blocks of one window, core and hull are the window.
-
-Only one representative of equal runs takes part in 3, so the rows follow the
-number of different texts, not of copies.  No step gathers a key in one task:
-all groupings are counts with map-side combine, joined back to their rows.
+   name of ``k`` bytes counts (its anchor; names are 64-bit mixes, doubled from
+   1 to ``k`` bytes in NumPy).  Equal windows have equal anchors at equal
+   distances, so a window whose anchor is unique is unique.  Neighbouring windows
+   with one anchor form a run; one row stands for about 70 windows.  Names only
+   rule out here: no match is concluded from one.
+2. Runs whose bytes, from the first window's start to the last one's end, are
+   equal (128-bit digests of these bytes) are repeated as a whole.
+3. *Prefix doubling.*  Runs that share an anchor but not all bytes are cut in
+   blocks of 32, then 8, then 1 windows.  A block's core is what all its windows
+   have in common: 169, 193, then 200 bytes for a length of 200.  A position's
+   first name is the digest of its core; after that it is the pair of the rank of
+   the core it grew from and the very bytes that have come on.  Spark groups the
+   pairs, drops unique ones, sorts the others and gives them their position as
+   new rank, until a core is unique or reaches ``length``.  A block whose hull
+   (all bytes of its windows) is that of all blocks with its core ends early.
+
+Only one representative of equal runs takes part in 3.  What goes back to the
+documents are their *unique* runs and the blocks that were found in these, so a
+passage that a third of all documents hold sends back nothing: a document loses
+its runs with shared anchors, but for the unique ones.  No step gathers a key in
+one task: equal runs of a slice of documents are counted there, groupings are
+counts with map-side combine, joined back to their rows.
 
 Defined cases: a null text is empty; texts below ``length`` bytes lose nothing;
 rows that repeat an id are documents of their own (an internal row key, not the
 id, identifies them); an empty table gives an empty result; other columns are
-carried along by :func:`remove_repeats` and ignored by :func:`repeat_digests`.
+carried along by :func:`remove_repeats`, whatever their names, and ignored by
+:func:`repeat_digests`.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.llm.common import bucketed, materialize, release, ship, shuffle_partitions, text_or_empty
+from depinfer.functions.storage import with_index
+from depinfer.llm.common import bucketed, discard, materialize, release, ship, text_or_empty
 
 BLOCKS = (32, 8, 1)
 _SEGMENT = 1 << 16
@@ -60,32 +65,26 @@ def _byte_names():
     return _mix(x, x ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _power_below(n: int) -> int:
-    return 1 << (n.bit_length() - 1)
-
-
-def _sizes(length: int) -> tuple[int, int]:
-    """Bytes of an anchor; bytes of the longest name that doubling gives."""
-    return _power_below(min(32, max(2, length // 6))), _power_below(length + 1 - BLOCKS[0])
+def _anchor_size(length: int) -> int:
+    """Bytes of an anchor: a power of two, and part of the core of a block of the largest size."""
+    return 1 << (min(32, max(2, length // 6), max(1, length + 1 - BLOCKS[0])).bit_length() - 1)
 
 
-def _names(data, keep: int, last: int) -> tuple:
-    """Names of ``keep`` and of ``last`` bytes at each position (both powers of two)."""
-    x, h, kept = _byte_names()[data], 1, None
-    while True:
-        if h == keep:
-            kept = x
-        if h == last:
-            return kept, x
+def _names(data, size: int):
+    """Names of ``size`` bytes (a power of two) at each position."""
+    x, h = _byte_names()[data], 1
+    while h < size:
         x, h = _mix(x[:-h], x[h:]), 2 * h
+    return x
 
 
-def _name_at(names, unit: int, at, size: int):
-    """The name of ``size`` bytes at positions ``at``, from names of ``unit`` bytes that cover them."""
-    x = names[at]
-    for off in [*range(unit, size - unit, unit), size - unit] if size > unit else []:
-        x = _mix(x, names[at + off])
-    return x
+def _digests(data, start, size):
+    """128-bit digests of byte ranges, as two longs each."""
+    import numpy as np
+
+    view = memoryview(data)
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + size).tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def _leftmost_min(v, w: int):
@@ -114,12 +113,12 @@ def _text_bytes(column):
     return data, offsets
 
 
-RUNS = "key bigint, lo int, hi int, m int, anchor bigint, hull bigint"
+RUNS = "key bigint, lo int, hi int, m int, anchor bigint"
 
 
 def _runs_of(length: int):
-    """Runs of each document: first and last window, anchor position, names of anchor and surroundings."""
-    k, unit = _sizes(length)
+    """Runs of each document: first and last window, position and name of the anchor."""
+    k = _anchor_size(length)
 
     def runs(batches):
         import numpy as np
@@ -130,8 +129,8 @@ def _runs_of(length: int):
             keys, out = batch.column("key").to_numpy(), []
             for p0 in range(int(offsets[0]), int(offsets[-1]) - length + 1, _SEGMENT):
                 p1 = min(p0 + _SEGMENT, int(offsets[-1]) - length + 1)
-                anchors, units = _names(data[p0 : p1 + length - 1], k, unit)
-                ix = _leftmost_min(anchors[: p1 - p0 + length - k], length - k + 1)
+                anchors = _names(data[p0 : p1 + length - 1], k)
+                ix = _leftmost_min(anchors, length - k + 1)
                 i0, i1 = (int(np.searchsorted(offsets, p, "right")) - 1 for p in (p0, p1 - 1))
                 doc = np.repeat(np.arange(i0, i1 + 1), np.diff(np.clip(offsets[i0 : i1 + 2], p0, p1)))
                 p = np.flatnonzero(np.arange(p0, p1) + length <= offsets[doc + 1]).astype(np.int32)
@@ -141,64 +140,94 @@ def _runs_of(length: int):
                 cut = np.flatnonzero((np.diff(m) != 0) | (np.diff(p) != 1)) + 1
                 first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(p)]]) - 1
                 lo, hi, m = p[first], p[last], m[first]
-                size = (hi - lo).astype(np.uint64) << np.uint64(32)
-                hull = _mix(_mix(_name_at(units, unit, lo, length), _name_at(units, unit, hi, length)), size + (m - lo).astype(np.uint64))
                 at = p0 - offsets[doc[lo]]
-                out.append((keys[doc[lo]], (lo + at).astype(np.int32), (hi + at).astype(np.int32), (m + at).astype(np.int32), anchors[m].view(np.int64), hull.view(np.int64)))
+                out.append((keys[doc[lo]], (lo + at).astype(np.int32), (hi + at).astype(np.int32), (m + at).astype(np.int32), anchors[m].view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "lo", "hi", "m", "anchor", "hull"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "lo", "hi", "m", "anchor"])
 
     return runs
 
 
-BLOCK_ROWS = "key bigint, lo int, hi int, m int, need boolean, core bigint, hull bigint"
+def _slices(batches, most: int = 1000):
+    """``bytes, offsets, row of each part, parts, key of each part`` of the documents that have parts."""
+    import pyarrow.compute as pc
+
+    for batch in (x.slice(i, most) for x in batches for i in range(0, x.num_rows, most)):
+        batch = batch.filter(batch.column("parts").is_valid())
+        if batch.num_rows:
+            data, offsets = _text_bytes(batch.column("text"))
+            parts = batch.column("parts")
+            row, held = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+            yield data, offsets, row, held, batch.column("key").to_numpy()[row]
+
 
+SHAPES = "anchor bigint, s1 bigint, s2 bigint, n bigint, key bigint, lo int, hi int, m int"
 
-def _blocks_of(length: int, block: int):
-    """Blocks of the windows in ``parts``, aligned by their distance from the anchor."""
-    k, unit = _sizes(length)
 
-    def cut(data, start, key, lo, hi, m, need):
-        """The blocks of parts whose bytes begin at ``start`` in ``data``."""
+def _shapes_of(length: int):
+    """The different runs of a slice of documents, by anchor and bytes: how many, and the first of them."""
+
+    def shapes(batches):
         import numpy as np
         import pyarrow as pa
 
-        size = hi - lo + length
-        base = np.cumsum(size) - size
-        _, units = _names(data[np.arange(int(size.sum())) + np.repeat(start - base, size)], 1, unit)
+        for data, offsets, row, held, key in _slices(batches):
+            lo, hi, m, anchor = (held.field(x).to_numpy() for x in ("lo", "hi", "m", "anchor"))
+            shape = _digests(data, offsets[row] + lo, hi - lo + length)
+            order = np.lexsort((lo, key, shape[:, 1], shape[:, 0], anchor))
+            lo, hi, m, anchor, key, shape = (x[order] for x in (lo, hi, m, anchor, key, shape))
+            new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(shape, axis=0) != 0).any(axis=1)])
+            first = np.flatnonzero(new)
+            n = np.diff(np.concatenate([first, [len(new)]])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[first], shape[first, 0], shape[first, 1], n, key[first], lo[first], hi[first], m[first])], names=["anchor", "s1", "s2", "n", "key", "lo", "hi", "m"])
+
+    return shapes
+
+
+BLOCK_ROWS = "key bigint, lo int, hi int, m int, need boolean, rank bigint, sub int, rest binary, h1 bigint, h2 bigint"
+
+
+def _blocks_of(length: int, before: int | None, block: int):
+    """Blocks of the windows in ``parts``, aligned by their distance from the anchor, with the pair that names their core.
+
+    ``before`` is the size of the blocks that the parts are, None for runs.
+    """
+
+    def cut(data, start, held, key):
+        import numpy as np
+        import pyarrow as pa
+
+        lo, hi, m = (held.field(x).to_numpy().astype(np.int64) for x in ("lo", "hi", "m"))
+        need, rank = held.field("need").to_numpy(zero_copy_only=False), held.field("rank").to_numpy()
         far, near = (m - lo) // block, (m - hi) // block
         n = far - near + 1
         row = np.repeat(np.arange(len(n)), n)
         q = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        first, last = np.maximum(lo[row], m[row] - q * block - block + 1), np.minimum(hi[row], m[row] - q * block)
-        shift = base[row] - lo[row]
-        core = _mix(_name_at(units, unit, m[row] - q * block + shift, length + 1 - block), q.astype(np.uint64))
-        hull = core
-        if block > 1:
-            hull = _mix(_mix(_name_at(units, unit, first + shift, length), _name_at(units, unit, last + shift, length)), (last - first).astype(np.uint64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[row]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(m[row].astype(np.int32)), pa.array(need[row]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))],
-            names=["key", "lo", "hi", "m", "need", "core", "hull"],
-        )
+        lo, hi, m, start = lo[row], hi[row], m[row], start[row]
+        first, last = np.maximum(lo, m - q * block - block + 1), np.minimum(hi, m - q * block)
+        core, sub = start + m - q * block, np.zeros(len(row), np.int64)
+        if before is None:
+            size, rest = 16, _digests(data, core, np.full(len(row), length + 1 - block))
+        else:
+            # What the core has more than the one it grew from: ``sub`` bytes before that and the others behind it.
+            sub, size = q * block - (m - lo) // before * before, before - block
+            more = np.arange(size)
+            rest = data[core[:, None] + more + np.where(more < sub[:, None], 0, length + 1 - before)]
+        offsets = pa.py_buffer((np.arange(len(row) + 1) * size).astype(np.int32))
+        rest = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(np.ascontiguousarray(rest))])
+        hull = _digests(data, start + first, last - first + length) if block > 1 else np.zeros((len(row), 2), np.int64)
+        whole = [pa.array(key[row]), *(pa.array(x.astype(np.int32)) for x in (first, last, m)), pa.array(need[row]), pa.array(rank[row]), pa.array(sub.astype(np.int32)), rest, pa.array(hull[:, 0]), pa.array(hull[:, 1])]
+        return pa.RecordBatch.from_arrays(whole, names=["key", "lo", "hi", "m", "need", "rank", "sub", "rest", "h1", "h2"])
 
     def blocks(batches):
         import numpy as np
-        import pyarrow.compute as pc
 
-        for batch in batches:
-            batch = batch.filter(batch.column("parts").is_valid())
-            if not batch.num_rows:
-                continue
-            data, offsets = _text_bytes(batch.column("text"))
-            parts = batch.column("parts")
-            row, held = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
-            lo, hi, m = (held.field(x).to_numpy().astype(np.int64) for x in ("lo", "hi", "m"))
-            need, key = held.field("need").to_numpy(zero_copy_only=False), batch.column("key").to_numpy()[row]
-            start = offsets[row] + lo
-            group = np.cumsum(hi - lo + length) >> 19
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+        for data, offsets, row, held, key in _slices(batches):
+            windows = held.field("hi").to_numpy().astype(np.int64) - held.field("lo").to_numpy() + length
+            group = np.cumsum(windows) >> 19
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
             for a, b in zip(edges[:-1], edges[1:]):
-                yield cut(data, start[a:b], key[a:b], lo[a:b], hi[a:b], m[a:b], need[a:b])
+                yield cut(data, offsets[row[a:b]], held.slice(a, b - a), key[a:b])
 
     return blocks
 
@@ -214,7 +243,12 @@ def _with_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``key, lo, hi``: all windows from ``lo`` to ``hi`` (first bytes) occur elsewhere too.
+    """``key, run_lo, run_hi, lo, hi, found`` for each document that shares an anchor.
+
+    All arrays: the windows of its runs (first bytes), and marks.  A mark that is
+    not ``found`` names a run, by its ``lo``, that is unique as a whole; one that is
+    found is a block of such a run that occurs elsewhere too.  All windows of the
+    other runs occur elsewhere too.
 
     ``docs`` has a unique ``key`` and a ``text`` without nulls, best bucketed by key.
     """
@@ -222,44 +256,48 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     runs = materialize(docs.select("key", "text").mapInArrow(_runs_of(length), RUNS), "op5-runs")
     # Written before it is joined, so that both sides of the join are shuffled and a hot anchor's rows can be split.
     again = materialize(runs.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-again")
-    kept = materialize(runs.join(again, "anchor", "left_semi"), "op5-anchors")
-    release(spark)
-    # Runs of one shape are listed by blocks of documents before they are counted and joined back, so a shape that
-    # a third of all documents hold is a row for each block, in as many tasks.
-    local = kept.groupBy("anchor", "hull", F.shiftright("key", 5).alias("block"))
-    local = local.agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("one"), F.collect_list(F.struct("key", "lo", "hi")).alias("runs"))
-    local = materialize(local, "op5-local")
+    mine = materialize(_by_document(runs.join(again, "anchor", "left_semi"), "lo", "hi", "m", "anchor"), "op5-mine")
+    discard(runs, again)
     release(spark)
-    shapes = materialize(local.groupBy("anchor", "hull").agg(F.sum("n").alias("n"), F.min("one").alias("one")), "op5-shapes")
-    whole = local.join(shapes.filter("n > 1").select("anchor", "hull"), ["anchor", "hull"], "left_semi").select("runs")
-    whole = whole.repartition(shuffle_partitions(spark)).select(F.explode("runs").alias("run")).select("run.key", "run.lo", "run.hi")
-    found = [materialize(whole, "op5-whole")]
+    local = materialize(_with_parts(docs, mine).mapInArrow(_shapes_of(length), SHAPES), "op5-local")
+    shapes = local.groupBy("anchor", "s1", "s2").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("one"))
+    shapes = materialize(shapes, "op5-shapes")
+    discard(local)
     several = materialize(shapes.groupBy("anchor").count().filter("count > 1").select("anchor"), "op5-several")
-    todo = shapes.join(several, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("need"))
-    for block in BLOCKS:
-        parts = _by_document(todo, "lo", "hi", "m", "need")
-        blocks = materialize(_with_parts(docs, parts).mapInArrow(_blocks_of(length, block), BLOCK_ROWS), f"op5-blocks{block}")
-        cores = blocks.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") == F.max("hull")).alias("same")).filter("n > 1").select("core", "same")
-        cores = materialize(cores, f"op5-cores{block}")
-        shared = materialize(blocks.join(cores, "core"), f"op5-shared{block}")
-        found.append(shared.filter("same and need").select("key", "lo", "hi"))
-        todo = shared.filter("not same").select("key", "lo", "hi", "m", "need")
+    marks = shapes.filter("n = 1").select("one.key", "one.lo", "one.hi", F.lit(False).alias("found"))
+    todo = shapes.join(several, "anchor", "left_semi").select("one.*", (F.col("n") == 1).alias("need"), F.lit(0).cast("long").alias("rank"))
+    done = [shapes, several]
+    for before, block in zip((None, *BLOCKS), BLOCKS):
+        parts = _by_document(todo, "lo", "hi", "m", "need", "rank")
+        blocks = materialize(_with_parts(docs, parts).mapInArrow(_blocks_of(length, before, block), BLOCK_ROWS), f"op5-blocks{block}")
+        pairs = blocks.groupBy("rank", "sub", "rest").agg(F.count("*").alias("n"), F.expr("min(h1) = max(h1) and min(h2) = max(h2)").alias("same"))
+        pairs = materialize(pairs.filter("n > 1").drop("n"), f"op5-pairs{block}")
+        ranked = materialize(with_index(pairs, "rank", "sub", "rest", name="next"), f"op5-ranked{block}") if block > 1 else pairs.withColumn("next", F.lit(0).cast("long"))
+        shared = materialize(blocks.join(ranked, ["rank", "sub", "rest"]).select("key", "lo", "hi", "m", "need", "same", "next"), f"op5-shared{block}")
+        marks = marks.unionByName(shared.filter("same and need").select("key", "lo", "hi", F.lit(True).alias("found")))
+        todo = shared.filter("not same").select("key", "lo", "hi", "m", "need", F.col("next").alias("rank"))
+        done += [blocks, pairs, ranked, shared]
         release(spark)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    marks = materialize(_by_document(marks, "lo", "hi", "found").select("key", *(F.col(f"parts.{c}").alias(c) for c in ("lo", "hi", "found"))), "op5-marks")
+    discard(*done)
+    return mine.select("key", F.col("parts.lo").alias("run_lo"), F.col("parts.hi").alias("run_hi")).join(marks, "key", "left")
+
 
+PARTS = ("run_lo", "run_hi", "lo", "hi", "found")
 
-def _merged(parts, length: int, size: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges that the windows cover."""
-    spans: list[list[int]] = []
-    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in parts or []):
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], hi)
+
+def _spans(run_lo, run_hi, lo, hi, found, length: int) -> list[tuple[int, int]]:
+    """Maximal byte ranges that the repeated windows cover."""
+    unique = {a for a, f in zip(lo or (), found or ()) if not f}
+    windows = [(a, b) for a, b in zip(run_lo or (), run_hi or ()) if a not in unique]
+    windows += [(a, b) for a, b, f in zip(lo or (), hi or (), found or ()) if f]
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(windows):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b + length))
         else:
-            spans.append([lo, hi])
-    return [(lo, min(hi, size)) for lo, hi in spans]
+            spans.append((a, b + length))
+    return spans
 
 
 def _kept(data: bytes, spans) -> bytes:
@@ -279,9 +317,9 @@ def _digest_of(length: int):
 
         for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             rows = []
-            for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+            for doc_id, text, *parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", *PARTS))):
                 data = text.encode()
-                spans = _merged(parts, length, len(data))
+                spans = _spans(*parts, length)
                 rows.append((doc_id, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -289,19 +327,20 @@ def _digest_of(length: int):
     return digest
 
 
-def _strip_of(length: int):
+def _strip_of(length: int, at: int):
+    """The columns but for the last ones, the parts; that at ``at`` is the text."""
+
     def strip(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.names.index("text")
-            texts = []
-            for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
-                data = (text or "").encode() if parts else b""
-                texts.append(_kept(data, _merged(parts, length, len(data))).decode("utf-8", "ignore") if parts else text)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(columns, names) if n != "parts"], names=[n for n in names if n != "parts"])
+            n = batch.num_columns - len(PARTS)
+            texts = batch.column(at).to_pylist()
+            for i, parts in enumerate(zip(*(batch.column(n + j).to_pylist() for j in range(len(PARTS))))):
+                if spans := _spans(*parts, length):
+                    texts[i] = _kept(texts[i].encode(), spans).decode("utf-8", "ignore")
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
 
     return strip
 
@@ -309,8 +348,8 @@ def _strip_of(length: int):
 def repeat_digests(docs: DataFrame, length: int = 200) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document."""
     held = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("key")), "key", "op5-docs")
-    parts = _by_document(repeated_windows(held, length), "lo", "hi")
-    return held.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "parts").mapInArrow(_digest_of(length), DIGESTS)
+    parts = repeated_windows(held, length)
+    return held.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", *PARTS).mapInArrow(_digest_of(length), DIGESTS)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -321,8 +360,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     key, columns = "__op5_key", docs.columns
     held = bucketed(docs.withColumn(key, F.monotonically_increasing_id()), key, "op5-docs")
     lean = held.select(F.col(key).alias("key"), text_or_empty().alias("text"))
-    parts = _by_document(repeated_windows(lean, length), "lo", "hi").withColumnRenamed("key", key)
-    out = held.join(parts.hint("shuffle_hash"), key, "left").select(*columns, "parts").mapInArrow(_strip_of(length), docs.schema)
+    parts = repeated_windows(lean, length)
+    parts = parts.select(F.col("key").alias(key), *(F.col(c).alias(f"__op5_{c}") for c in PARTS))
+    joined = held.join(parts.hint("shuffle_hash"), key, "left").select(*columns, *(f"__op5_{c}" for c in PARTS))
+    out = joined.mapInArrow(_strip_of(length, columns.index("text")), docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -218,6 +218,14 @@ def test_op5_query_and_stage(spark):
     assert op5_suffix_dedup.repeat_digests(docs(spark, [])).count() == 0
 
 
+def test_op5_stage_keeps_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = spark.createDataFrame([(1, long, "p", 5, 1, 2), (1, "Ä " + long + " end", "q", 6, 1, 2), (2, None, "r", 7, 1, 2), (3, "short", "s", 8, 1, 2)], "doc_id int, text string, parts string, key int, found int, n_chars int")
+    kept = op5_suffix_dedup.remove_repeats(rows)
+    assert kept.schema == rows.schema
+    assert sorted(map(tuple, kept.collect())) == [(1, "", "p", 5, 1, 0), (1, "Ä  end", "q", 6, 1, 6), (2, None, "r", 7, 1, 2), (3, "short", "s", 8, 1, 5)]
+
+
 def test_op9_against_brute_force(spark):
     rnd = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
