@@ -89,7 +89,8 @@ def test_op1_empty(spark, tmp_path):
 
 def test_op7_pieces_and_sequences(spark, tokenizer):
     rows = [*ODD, *((i + 1000, x) for i, x in table(spark, "documents").select("doc_id", "text").collect())]
-    got = op7_packing.pack(docs(spark, rows)).toPandas()
+    got = op7_packing.pack(docs(spark, rows), keep_ids=True).toPandas()
+    assert all(zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in got.itertuples())
     assert got.length.sum() == sum(len(encoded(tokenizer, x, 1)) for _, x in rows)
     by_id = {i: encoded(tokenizer, x, 1) for i, x in rows if i not in (None, 53)}
     for i, group in got.sort_values("start").groupby("doc_id"):
@@ -117,7 +118,37 @@ def test_patterns_cover_the_demand(n):
         for s, c in pattern.items():
             placed[s] = placed.get(s, 0) + c * times
     assert placed == demand
-    assert sum(t for _, t in plans) <= -(-sizes.sum() // 128) * 1.25 + 2
+    assert sum(t for _, t in plans) <= -(-sizes.sum() // 128) * 1.03 + 2
+
+
+def test_the_priced_patterns_hold_the_documents(spark):
+    """Over a table's own lengths: columns come from pricing, the program ends near its bound, and little is left to first-fit."""
+    pieces = op7_packing.pack(table(spark, "documents")).toPandas()
+    demand = {int(s): int(k) for s, k in zip(*np.unique(-(-pieces.length.to_numpy() // 8), return_counts=True))}
+    report = {}
+    plans = op7_packing.solve_patterns(demand, 256, report=report)
+    assert report["pricings"] > 3 and report["pivots"] > 100 and report["pieces"] > 5 * report["left"]
+    assert report["bound"] <= report["value"] <= 1.001 * report["bound"]
+    assert sum(t for _, t in plans) == pieces.sequence_id.nunique() <= report["bound"] + 3
+
+
+def test_program_against_the_exact_one():
+    """All patterns listed: no multipliers of the classes (any feasible duals) may prove a higher bound than the program's value."""
+    rnd = random.Random(11)
+    for _ in range(8):
+        capacity = 12
+        sizes = np.array(sorted(rnd.sample(range(1, 13), 5), reverse=True))
+        need = np.array([rnd.randrange(1, 40) for _ in sizes], float)
+        program = op7_packing.PatternProgram(sizes, need, capacity)
+        program.solve(0.0, 500, 5000)
+        every = [()]
+        for s in sizes:
+            every = [p + (k,) for p in every for k in range(capacity // s + 1) if int(np.dot(p + (k,), sizes[: len(p) + 1])) <= capacity]
+        duals = program.inverse.sum(axis=0)
+        # Optimal by duality: the patterns cover the need, and the duals that give the same value are feasible for all patterns.
+        assert np.allclose(program.columns @ program.times, need)
+        assert need @ duals == pytest.approx(program.value)
+        assert max(np.dot(p, duals) for p in every) <= 1 + 1e-6 or program.value == pytest.approx(program.bound)
 
 
 # Texts
