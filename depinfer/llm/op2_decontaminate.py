@@ -5,8 +5,11 @@ typed placeholders; the rest is lower-cased and split into words.  Windows of
 ``width`` template words are hashed and joined with those of the benchmark, so
 an item whose numbers, names or units were changed still matches.  A document
 and an item that share at least ``coverage`` of the item's windows are compared
-slot by slot: a value of the item must stand for one value of the document
-wherever it occurs.  Pairs with too many slots that break this are dropped.
+slot by slot, each slot where the longest run of shared windows over it lies in
+the document, so words put in or left out do no harm.  A value of the item must
+stand for one value of the document wherever it occurs, and a name of the
+document for one name of the item.  Pairs with too many slots that break this are
+dropped.
 
 A capitalised word that opens a sentence, line, quotation or bracket may be a
 name or an ordinary word.  Windows with such openers are hashed twice, with the
@@ -17,14 +20,16 @@ pass the slot check too.  In an item below ``width`` words all must, and one tha
 the benchmark also has uncapitalised is an ordinary word and fails it.
 
 Items of ``shortest`` to ``width - 1`` words match as one window of their whole
-length; shorter ones say too little and are not searched.  The benchmark's
-windows are counted first: up to ``broadcast_windows`` they are broadcast,
-beyond that the join is shuffled.
-
-Defined cases: null and empty texts match nothing; a null item id or ``doc_id``
-is reported as null; rows that repeat an id are compared on their own (a hash of
-id and text identifies a row, so equal rows are one); an empty table gives an
-empty result; other columns are ignored, :func:`drop_leaks` carries them along.
+length.  Shorter ones say too little to be looked for inside a text: they match a
+document that has them, word for word, as a whole line.  The benchmark's windows
+are counted first: up to ``broadcast_windows`` they are broadcast, beyond that
+the join is shuffled.
+
+Defined cases: null, empty and wordless texts match nothing; a null item id or
+``doc_id`` is reported as null; rows that repeat an id are compared on their own
+(a hash of id and text identifies a row, so equal rows are one); an empty table
+gives an empty result; other columns are ignored, :func:`drop_leaks` carries them
+along.
 """
 
 from __future__ import annotations
@@ -78,15 +83,40 @@ def marked_words(text):
     return F.split(F.trim(F.regexp_replace(F.lower(text), _BETWEEN, " ")), " ")
 
 
-def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
-    """``keep, at, hash, opened`` for each window of ``width`` of ``words``, and of ``open`` where that differs and is not all placeholders."""
-    long_enough = rows.filter(F.size("words") >= width)
-    placed = long_enough.select(*keep, "words", "open", F.explode(F.expr(f"sequence(0, size(words) - {width})")).alias("at"))
-    hashed = lambda words: F.xxhash64(F.lit(width), *(F.expr(f"{words}[at + {i}]") for i in range(width)))
-    says = F.expr(" or ".join(f"open[at + {i}] > '\x05'" for i in range(width)))
-    both = placed.select(*keep, "at", hashed("words").alias("h"), F.when(says, hashed("open")).alias("g"))
-    plain, opened = F.struct(F.col("h").alias("hash"), F.lit(False).alias("opened")), F.struct(F.col("g").alias("hash"), F.lit(True).alias("opened"))
-    return both.select(*keep, "at", F.explode(F.when(F.col("g") != F.col("h"), F.array(plain, opened)).otherwise(F.array(plain))).alias("w")).select(*keep, "at", "w.hash", "w.opened")
+def _windows(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """``keep, at, hash, opened`` for each window of the ``widths`` of ``words``, and of ``open`` where that differs and is not all placeholders."""
+    placed = rows.filter(F.size("words") >= min(widths)).select(*keep, "words", "open", F.explode(F.expr(f"sequence(0, size(words) - {min(widths)})")).alias("at"))
+    hashed = lambda words, n: F.xxhash64(F.lit(n), *(F.expr(f"get({words}, at + {i})") for i in range(n)))
+    kinds = []
+    for n in widths:
+        says = F.expr(" or ".join(f"get(open, at + {i}) > '\x05'" for i in range(n)))
+        fits = F.col("at") + n <= F.size("words")
+        kinds += [F.when(fits, hashed("words", n)).alias(f"h{n}"), F.when(fits & says, hashed("open", n)).alias(f"g{n}")]
+    both = placed.select(*keep, "at", *kinds)
+    lists = []
+    for n in widths:
+        plain, opened = F.struct(F.col(f"h{n}").alias("hash"), F.lit(False).alias("opened")), F.struct(F.col(f"g{n}").alias("hash"), F.lit(True).alias("opened"))
+        lists.append(F.when(F.col(f"h{n}").isNull(), F.array().cast("array<struct<hash:bigint,opened:boolean>>")).when(F.col(f"g{n}") != F.col(f"h{n}"), F.array(plain, opened)).otherwise(F.array(plain)))
+    return both.select(*keep, "at", F.explode(lists[0] if len(lists) == 1 else F.concat(*lists)).alias("w")).select(*keep, "at", "w.hash", "w.opened")
+
+
+def _short_leaks(rows: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
+    """Documents with a line whose words are those of an item below ``shortest`` words."""
+    literal = lambda text: F.array_join(_words(text), " ")
+    asked = items.select("item_id", literal(F.col("text")).alias("line")).filter(f"line <> '' and size(split(line, ' ')) < {shortest}")
+    lines = rows.select(F.expr(_ROW).alias("row"), "doc_id", F.explode(F.split("text", "\n")).alias("line")).select("row", "doc_id", literal(F.col("line")).alias("line"))
+    one = F.lit(1).cast("long")
+    return lines.join(asked, "line").select("row", "doc_id", "item_id", one.alias("windows"), one.alias("item_windows"), (one * 0).alias("slots"), (one * 0).alias("consistent_slots")).distinct()
+
+
+def _slots(pairs: DataFrame, marked: DataFrame, asked: DataFrame) -> DataFrame:
+    """``row, item, short, kind, value, other`` for each slot of an item that lies in a shared window."""
+    wanted = "asked[i] rlike '^[\\\\x02\\\\x03]|\\\\p{N}' or not plain and asked[i] rlike '^\\\\x05'"
+    found = f"transform(filter(sequence(0, size(asked) - 1), i -> {wanted}), i -> struct(asked[i] as asked, i + get(filter(aligned, a -> exists(a.places, p -> p <= i and i < p + width)), 0).shift as at))"
+    sides = pairs.select("row", "item", "short", "plain", "width", "aligned").join(marked, "row").join(asked, "item")
+    slots = sides.select("row", "item", "short", "said", F.expr(f"explode({found})").alias("s")).filter("s.at >= 0 and s.at < size(said)")
+    bare = lambda c: F.translate(c, "\x02\x05", "")
+    return slots.select("row", "item", "short", F.substring("s.asked", 1, 1).alias("kind"), bare(F.col("s.asked")).alias("value"), bare(F.expr("get(said, s.at)")).alias("other"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, consistency: float = 0.8, shortest: int = 5, broadcast_windows: int = 1_000_000) -> DataFrame:
@@ -94,43 +124,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).withColumn("line", template_line(F.col("text")))
     items = items.withColumn("words", template_words(F.col("line"))).withColumn("open", opener_words(F.col("line")))
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "op2-items")
-    sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(width)).alias("n")).distinct().collect()]
+    sizes = sorted(r["n"] for r in items.filter("line <> ''").select(F.least(F.size("words"), F.lit(width)).alias("n")).distinct().collect())
+    widths = [n for n in sizes if n >= shortest] or [width]
     known = None
-    for n in sorted(x for x in sizes if x >= shortest):
-        part = _windows(items.filter(F.size("words") >= width if n == width else F.size("words") == n), n, "item")
+    for n in widths:
+        part = _windows(items.filter(F.size("words") >= width if n == width else F.size("words") == n), [n], "item")
         known = part if known is None else known.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    if known is None:
-        known = items.select("item", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("opened")).limit(0)
     known = materialize(known.select("item", F.col("at").alias("item_at"), "hash", F.col("opened").alias("item_opened")), "op2-windows")
     small = known.count() <= broadcast_windows
     split = rows.select(F.expr(_ROW).alias("row"), "doc_id", template_line(F.col("text")).alias("line"))
     split = split.select("row", "doc_id", template_words(F.col("line")).alias("words"), opener_words(F.col("line")).alias("open"))
-    hits = None
-    for n in sorted(x for x in sizes if x >= shortest) or [width]:
-        found = _windows(split, n, "row", "doc_id").join(F.broadcast(known) if small else known, "hash").select("row", "doc_id", "item", "at", "item_at", F.expr("if(opened or item_opened, null, item_at)").alias("plain_at"))
-        hits = found if hits is None else hits.unionByName(found)
+    hits = _windows(split, widths, "row", "doc_id").join(F.broadcast(known) if small else known, "hash").select("row", "doc_id", "item", "at", "item_at", F.expr("if(opened or item_opened, null, item_at)").alias("plain_at"))
     counted = hits.groupBy("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.collect_set("item_at").alias("places"), F.collect_set("plain_at").alias("plain"))
     covered = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places))))
-    pairs = counted.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), covered("places").alias("windows"), covered("plain").alias("plain"), F.max(F.struct(F.size("places").alias("n"), (-F.abs("shift")).alias("near"), "shift")).alias("best"))
-    whole = items.select("item", "item_id", F.greatest(F.size("words") - width + 1, F.lit(1)).alias("item_windows"), (F.size("words") < width).alias("short"))
+    aligned = F.sort_array(F.collect_list(F.struct(F.size("places").alias("n"), (-F.abs("shift")).alias("near"), "shift", "places")), asc=False)
+    pairs = counted.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), covered("places").alias("windows"), covered("plain").alias("plain"), aligned.alias("aligned"))
+    whole = items.select("item", "item_id", F.greatest(F.size("words") - width + 1, F.lit(1)).alias("item_windows"), (F.size("words") < width).alias("short"), F.least(F.size("words"), F.lit(width)).alias("width"))
     pairs = pairs.join(whole, "item").filter(F.col("windows") >= F.lit(coverage) * F.col("item_windows"))
-    pairs = materialize(pairs.select("row", "doc_id", "item", "item_id", "windows", "item_windows", F.col("best.shift").alias("shift"), "short", (F.col("plain") >= F.lit(coverage) * F.col("item_windows")).alias("plain")), "op2-pairs")
+    pairs = materialize(pairs.withColumn("plain", F.col("plain") >= F.lit(coverage) * F.col("item_windows")), "op2-pairs")
     wanted = materialize(pairs.select("row").distinct(), "op2-rows")
     marked = rows.withColumn("row", F.expr(_ROW)).join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("row", marked_words(F.col("text")).alias("said"))
-    asked = items.select("item", marked_words(F.col("text")).alias("asked"))
-    sides = pairs.select("row", "item", "shift", "short", "plain").join(marked, "row").join(asked, "item")
-    slots = sides.select("row", "item", "short", F.expr("explode(transform(filter(sequence(0, size(asked) - 1), i -> i + shift >= 0 and i + shift < size(said) and (asked[i] rlike '^[\\\\x02\\\\x03]|\\\\p{N}' or not plain and asked[i] rlike '^\\\\x05')), i -> struct(asked[i] as asked, translate(asked[i], '\x02\x05', '') as value, translate(said[i + shift], '\x02\x05', '') as other)))").alias("s"))
-    of_value = slots.groupBy("row", "item", "short", "s.value").agg(F.count_distinct("s.other").alias("n"), F.min("s.other").alias("other"), F.count("*").alias("times"), F.bool_and(F.expr("s.asked rlike '^\\\\x05'")).alias("opener"))
+    slots = materialize(_slots(pairs, marked, items.select("item", marked_words(F.col("text")).alias("asked"))), "op2-slots")
+    of_value = slots.groupBy("row", "item", "short", "value").agg(F.count_distinct("other").alias("n"), F.min("other").alias("other"), F.count("*").alias("times"), F.bool_and(F.col("kind") == "\x05").alias("opener"), F.bool_or(F.col("kind") == "\x02").alias("name"))
     of_value = of_value.filter("not opener or (times > 1 or short) and (n > 1 or other <> value)")
+    of_other = slots.filter("kind = '\x02'").groupBy("row", "item", "other").agg(F.count_distinct("value").alias("back"))
     ordinary = materialize(items.select(F.explode(F.split("line", " ")).alias("word")).filter("word >= '\x06'").distinct(), "op2-ordinary")
     out_of = lambda c: ordinary.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_ordinary"))
-    of_value = of_value.join(out_of("value"), "value", "left").join(out_of("other"), "other", "left")
-    fine = F.expr("n = 1 and not (short and opener and (value_ordinary is not null or other_ordinary is not null))")
+    of_value = of_value.join(of_other, ["row", "item", "other"], "left").join(out_of("value"), "value", "left").join(out_of("other"), "other", "left")
+    fine = F.expr("n = 1 and not (name and back > 1) and not (short and opener and (value_ordinary is not null or other_ordinary is not null))")
     checked = of_value.groupBy("row", "item").agg(F.count("*").alias("slots"), F.count_if(fine).alias("consistent_slots"))
     out = pairs.join(checked, ["row", "item"], "left").na.fill(0, ["slots", "consistent_slots"])
     out = out.filter(F.col("consistent_slots") >= F.lit(consistency) * F.col("slots"))
-    return out.select("row", "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "slots", "consistent_slots")
+    out = out.select("row", "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "slots", "consistent_slots")
+    return out.unionByName(_short_leaks(rows, items, shortest)) if any(n < shortest for n in sizes) else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

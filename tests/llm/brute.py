@@ -92,3 +92,80 @@ def leaks(docs, items, width=8, coverage=0.5):
             if n > 0 and sum(tuple(v[j : j + width]) in have for j in range(n)) >= coverage * n:
                 out.add((d, i))
     return out
+
+
+def template_leaks(docs, items, width=8, coverage=0.5, consistency=0.8, shortest=5):
+    """``(doc_id, item_id)`` by comparing each document's templates with each item's, window by window and slot by slot."""
+    import regex
+
+    from depinfer.llm.op2_decontaminate import UNITS
+
+    number = r"\p{N}+(?:[.,]\p{N}+)*"
+    name, opener = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+", r"(?<![\p{L}\p{M}\p{N}\x01-\x05])\p{Lu}\p{Ll}+"
+    between = r"[^\p{L}\p{M}\p{N}\x01-\x05]+"
+    cut = lambda x: [w for w in regex.split(between, x.lower()) if w]
+
+    def words(x):
+        """For each word its template, its template as an opener, and its value with its kind."""
+        typed = regex.sub(opener, "\x05\\g<0>", regex.sub(name, "\x02", x))
+        typed = cut(regex.sub(number, "\x01", regex.sub(rf"({number}) ?({UNITS})\b", "\x01 \x03", typed)))
+        said = regex.sub(opener, "\x05\\g<0>", regex.sub(name, "\x02\\g<0>", x))
+        said = cut(regex.sub(r"(?<=\p{N})[.,](?=\p{N})", "\x04", regex.sub(rf"({number}) ?({UNITS})\b", r"\1 \x03\2", said)))
+        return [(t.replace("\x05", ""), regex.sub("\x05.*", "\x02", t), v) for t, v in zip(typed, said)]
+
+    def templates(w, n):
+        """Template of a window -> its places, and whether it needs an opener to be a slot."""
+        out = collections.defaultdict(set)
+        for a in range(len(w) - n + 1):
+            plain, opened = tuple(x[0] for x in w[a : a + n]), tuple(x[1] for x in w[a : a + n])
+            out[plain].add((a, False))
+            if opened != plain and any(x > "\x05" for x in opened):
+                out[opened].add((a, True))
+        return out
+
+    asked = {(i, x): words(x) for i, x in ((i, x or "") for i, x in items)}
+    ordinary = {t[0] for w in asked.values() for t, (raw, _, v) in ((x, x) for x in w) if not v.startswith("\x05") and raw >= "\x06"}
+    out = set()
+    for d, text in docs:
+        w, lines = words(text or ""), [cut(x) for x in (text or "").split("\n")]
+        for (i, x), v in asked.items():
+            if len(v) < shortest:
+                out |= {(d, i)} if v and cut(x) in lines else set()
+                continue
+            n = min(width, len(v))
+            have, met = templates(w, n), collections.defaultdict(set)
+            plain = set()
+            for t, places in templates(v, n).items():
+                for p, opened in places:
+                    for at, also in have.get(t, ()):
+                        met[at - p].add(p)
+                        plain |= set() if opened or also else {p}
+            total = len(v) - n + 1
+            if len(set().union(*met.values())) < coverage * total:
+                continue
+            order = sorted(met, key=lambda s: (-len(met[s]), abs(s), -s))
+            values, back = collections.defaultdict(list), collections.defaultdict(set)
+            for k, (_, _, value) in enumerate(v):
+                kind = value[0]
+                if not (kind in "\x02\x03" or regex.search(r"\p{N}", value) or kind == "\x05" and len(plain) < coverage * total):
+                    continue
+                shift = next((s for s in order if any(p <= k < p + n for p in met[s])), None)
+                if shift is None or not 0 <= k + shift < len(w):
+                    continue
+                bare, other = (y.translate({2: None, 5: None}) for y in (value, w[k + shift][2]))
+                values[bare].append((kind, other))
+                if kind == "\x02":
+                    back[other].add(bare)
+            fine = slots = 0
+            for value, found in values.items():
+                others, opener_only = {o for _, o in found}, all(k == "\x05" for k, _ in found)
+                if opener_only and not ((len(found) > 1 or len(v) < width) and (len(others) > 1 or others != {value})):
+                    continue
+                slots += 1
+                other = min(others)
+                wrong = any(k == "\x02" for k, _ in found) and len(back.get(other, ())) > 1
+                common = len(v) < width and opener_only and (value in ordinary or other in ordinary)
+                fine += len(others) == 1 and not wrong and not common
+            if fine >= consistency * slots:
+                out.add((d, i))
+    return out

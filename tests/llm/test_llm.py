@@ -186,10 +186,58 @@ def test_op2_names_that_open_sentences(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 2), (3, 1), (6, 4)]
 
 
+NAMES = "Maria Olga Tom Ben Weng Lars Priya Chidi Ana Karl Yuki Omar Lea Finn Zoe Ivan".split()
+STORIES = [
+    "{a} has {x} red apples and {b} has {y} more than {a} . How many apples does {b} have when {a} gives {x} of them away ?",
+    "A train leaves for the coast with {x} people on board , and {y} minutes later {a} sees it pass . {b} counts {x} cars and asks {a} how fast it was .",
+    "{a} and {b} paint a fence of {x} m in {y} hours . Then {b} works alone for {y} hours more , so how long is the part that {a} still has to paint ?",
+    "In the shop of {a} a loaf costs {x} cents , and {b} buys {y} of them every week for the school . What does {b} pay {a} in a year ?",
+    "{a} reads {x} pages a day while {b} reads {y} pages , but {b} began a week later than {a} . On which day have {a} and {b} read as many pages ?",
+]
+
+
+def told(rnd, story, a, b):
+    x, y = rnd.sample(range(2, 900), 2)
+    return story.format(a=a, b=b, x=x, y=y).replace(" .", ".").replace(" ?", "?").replace(" ,", ",")
+
+
+def test_op2_recall_of_reparameterised_items_and_brute_force(spark):
+    """Other names, numbers and units, and a word put in; stories told with two names mixed up are no leaks."""
+    rnd = random.Random(8)
+    items = [(k, told(rnd, s, *rnd.sample(NAMES, 2))) for k, s in enumerate(STORIES)]
+    rows, leaked, mixed = [], set(), set()
+    for i in range(100):
+        k = i % 5
+        text = told(rnd, STORIES[k], *rnd.sample(NAMES, 2))
+        if i % 2:
+            w = text.split(" ")
+            w.insert(rnd.randrange(4, len(w) - 3), "really")
+            text = " ".join(w)
+        if i % 3 == 0:
+            text = text.replace(" minutes", " seconds").replace(" m ", " km ").replace(" cents", " euros")
+        rows.append((i, "Some words before it all. " + text + "\nAnd after."))
+        leaked.add((i, k))
+    for i in range(100, 120):
+        text = told(rnd, STORIES[i % 5], "Maria", "Tom")
+        for name in rnd.sample(NAMES[4:], 12):
+            text = text.replace(rnd.choice(("Maria", "Tom")), name, 1)
+        rows.append((i, text))
+        mixed.add((i, i % 5))
+    rows += [(200, items[1][1].replace("and", "and then", 1)), (201, "Ananas\nSo it goes\nthen"), (202, "we say so it goes"), (203, None), (204, "...")]
+    items += [(10, "so it goes"), (11, None), (12, "..."), (13, "Kim sold 5 red hats."), (14, "Is this a good idea?")]
+    rows += [(205, "Lea sold 7 red hats."), (206, "Was this a good idea?")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in op2_decontaminate.find_leaks(docs(spark, rows), table).collect()}
+    assert found == brute.template_leaks(rows, items)
+    assert len(found & leaked) >= 0.9 * len(leaked) and len(found & mixed) <= 0.2 * len(mixed)
+    assert {(200, 1), (201, 10), (205, 13)} <= found and not {r for r in found if r[0] in (202, 203, 204, 206)}
+    assert found == {(r.doc_id, r.item_id) for r in op2_decontaminate.find_leaks(docs(spark, rows), table, broadcast_windows=0).collect()}
+
+
 def test_op2_query_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op2_decontaminate"](spark, SMALL).collect()}
     pick = lambda name, key: [tuple(r) for r in table(spark, name).select(key, "text").collect()]
-    assert got == brute.leaks(pick("documents", "doc_id"), pick("benchmark", "item_id"))
+    assert got == brute.leaks(pick("documents", "doc_id"), pick("benchmark", "item_id")) == brute.template_leaks(pick("documents", "doc_id"), pick("benchmark", "item_id"))
 
 
 def test_op3_query_and_odd_texts_against_brute_force(spark):
