@@ -1,12 +1,14 @@
 """License scan: Dice coefficient over word bigrams (DataFrame operations only).
 
-Units are the lines of a text, its paragraphs (between blank lines) and the
-whole text.  A unit is normalised (lower case, words of letters and digits) and
-compared with each template by the Dice coefficient of their multisets of word
-bigrams.  With a threshold of ``t`` a unit of ``n`` bigrams can match a template
-of ``m`` only if ``t / (2 - t) <= n / m <= (2 - t) / t``: units outside all
-templates' bounds are dropped before their bigrams are made, and the rest meets
-only the templates that share a bigram.
+A text is normalised (lower case, words of letters and digits, line feeds
+kept); its units are its lines, its paragraphs (between lines without words) and
+the whole of it.  A unit is compared with each template by the Dice coefficient
+of their multisets of word bigrams.  With a threshold of ``t`` a unit of ``n``
+bigrams can match a template of ``m`` only if ``t / (2 - t) <= n / m <=
+(2 - t) / t``: units whose number of words is outside all templates' bounds are
+dropped before their bigrams are made, and the rest meets only the templates
+that share a bigram.  Notices inside a longer line or paragraph are no units of
+their own and are not looked for.
 
 The templates are a fixed table of a few dozen rows, so it may be broadcast.
 
@@ -53,8 +55,14 @@ TEMPLATES = (
 )
 
 
+def normalised(text):
+    """Lower-case words with single spaces, and the line feeds."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
 def normalised_words(text):
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """The words of a normalised text."""
+    return F.split(F.trim(F.regexp_replace(text, r"[ \n]+", " ")), " ")
 
 
 def _bigrams(rows: DataFrame, carried, keep, wanted: str = "true") -> DataFrame:
@@ -71,7 +79,7 @@ def _bigrams(rows: DataFrame, carried, keep, wanted: str = "true") -> DataFrame:
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``template, license, size, bigram, times``: the bigrams of each template."""
     named = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
-    rows = named.withColumn("words", normalised_words(F.col("text")))
+    rows = named.withColumn("words", normalised_words(normalised(F.col("text"))))
     return _bigrams(rows, ["template", "license"], ["template", "license", F.expr("size(words) - 1").alias("size")]).groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("times"))
 
 
@@ -83,19 +91,20 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     spark = docs.sparkSession
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = template_table(spark, templates)
-    sizes = sorted({len(t.split()) for _, t in templates})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    lines = F.split("text", "\n")
-    # A long text can't match as a whole and a short line can't hold a match: neither is split into words.
-    least, most = low * min(sizes) * 2, high * max(sizes) * 40
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("text"))
+    unit = lambda kind, x: F.struct(F.lit(kind).alias("unit"), x.alias("said"))
+    none = F.expr("cast(array() as array<struct<unit:int,said:string>>)")
     units = F.concat(
-        F.when(F.length("text") <= most, F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("said")))).otherwise(F.expr("array()")),
-        F.when(F.col("text").rlike(r"\n\s*\n"), F.transform(F.split("text", r"\n\s*\n"), lambda x: F.struct(F.lit(1).alias("unit"), x.alias("said")))).otherwise(F.expr("array()")),
-        F.when(F.instr("text", "\n") > 0, F.transform(lines, lambda x: F.struct(F.lit(2).alias("unit"), x.alias("said")))).otherwise(F.expr("array()")),
+        F.array(unit(0, F.col("text"))),
+        F.when(F.col("text").rlike(r"\n *\n"), F.transform(F.split("text", r"\n *(?:\n *)+"), lambda x: unit(1, x))).otherwise(none),
+        F.when(F.instr("text", "\n") > 0, F.transform(F.split("text", "\n"), lambda x: unit(2, x))).otherwise(none),
     )
-    said = rows.select("doc_id", F.posexplode_outer(units).alias("place", "u")).select("doc_id", "place", "u.unit", "u.said").filter((F.length("said") >= least) & (F.length("said") <= most))
-    counted = known.select("size").distinct().collect()
-    bounds = " or ".join(f"size(words) - 1 between {low * r['size']} and {high * r['size']}" for r in counted) or "false"
+    counted = [r["size"] for r in known.select("size").distinct().collect()]
+    # A unit has at least a space or line feed for each bigram.
+    gaps = F.length("said") - F.length(F.translate("said", " \n", ""))
+    said = rows.select("doc_id", F.posexplode_outer(units).alias("place", "u")).select("doc_id", "place", "u.unit", "u.said")
+    said = said.filter(gaps >= low * min(counted, default=0))
+    bounds = " or ".join(f"size(words) - 1 between {low * n} and {high * n}" for n in counted) or "false"
     words = said.select("doc_id", "place", "unit", F.xxhash64("said").alias("key"), normalised_words(F.col("said")).alias("words"))
     carried = ["doc_id", "place", "unit", "key"]
     hits = _bigrams(words, carried, [*carried, F.expr("size(words) - 1").alias("n")], bounds).join(F.broadcast(known), "bigram")

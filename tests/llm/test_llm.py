@@ -242,8 +242,10 @@ def test_op2_query_against_brute_force(spark):
 
 def test_op3_query_and_odd_texts_against_brute_force(spark):
     rows = [*ODD, *((i + 1000, x) for i, x in table(spark, "documents").select("doc_id", "text").collect()), (900, "Intro.\n\n" + op3_licenses.TEMPLATES[3][1].replace(", ", ",\n") + "\n\nEnd."), (901, "licensed UNDER the apache license version 2.0")]
+    stars = op3_licenses.TEMPLATES[3][1].replace(" ", " " + "*" * 60 + " ")
+    rows += [(902, stars), (903, "a\n" + stars + "\nb"), (904, "x\n \n-\n" + stars + "\n\t\n...\n\ny"), (905, "Permission \n" * 40)]
     got = {(r.doc_id, r.license): r.dice for r in op3_licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert got == brute.licenses(rows, op3_licenses.TEMPLATES) and (900, "MIT") in got
+    assert got == brute.licenses(rows, op3_licenses.TEMPLATES) and all((i, "MIT") in got for i in (900, 902, 903, 904))
     assert op3_licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
