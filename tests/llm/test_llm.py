@@ -261,6 +261,79 @@ def test_op4_page():
     assert op4_extract.extract_text("<div><p>" * 3000 + "deep text here." + "</div>" * 10) == "deep text here."
 
 
+def test_op4_malformed_pages():
+    extract = op4_extract.extract_text
+    text = "A first paragraph that is long enough to be read, with a comma and a stop."
+    # The head's end tag, and html, head and body themselves, are optional.
+    assert extract(f"<html><head><title>t</title><style>p{{}}</style><body><p>{text}</p></body></html>") == text
+    assert extract(f"<head><meta charset=x><script>1<2</script><link rel=a><p>{text}") == text
+    # Quotes open a value only behind an equals sign.
+    assert extract(f"<p title=don't>{text}</p><p>it's</p>") == f"{text}\n\nit's"
+    assert extract(f'<p class="a"">{text}</p>') == text and extract(f'<p data-x="a > b" y=\'>\'>{text}</p>') == text
+    assert extract(f"<p a=b/>{text}") == text and extract(f'<p a="never closed>{text}</p>') == text
+    # What is never text does not end a block.
+    assert extract(f"<p>{text} Some <svg><path/></svg>more<script>x</script> and<svg/> more.") == f"{text} Some more and more."
+    for marks in ('class="layout content-with-sidebar"', 'class="post tag-news category-ads"', 'id="legal-news"', 'class="has-menu"'):
+        assert extract(f"<div {marks}><h1>Title</h1><p>{text}</p></div>") == f"Title\n\n{text}"
+        assert extract(f"<div {marks}><p>{text}</p><p>{text}</p></div>") == f"{text}\n\n{text}"
+    assert extract(f"<form id=page class=form><main><p>{text}</p></main></form>") == text
+    assert extract("<p>&lt;b&gt; &amp;amp; &#x41;&nbsp;&copy</p>") == "<b> &amp; A ©"
+
+
+KEPT = [
+    lambda w: (f"<h1>{w(4)}</h1>", 1), lambda w: (f"<h2>{w(2)}", 1), lambda w: (f"<p>{w(30)}.</p>", 1), lambda w: (f"<p>{w(12)}!", 1), lambda w: (f"<p title=it's>{w(3)}", 1),
+    lambda w: (f"<ul><li>{w(2)}<li>{w(5)}</ul>", 2), lambda w: (f"<blockquote class=quote\">{w(9)}.</blockquote>", 1), lambda w: (f"<p>{w(8)} <a href=/x>{w(2)}</a> {w(20)}.", 1), lambda w: (f"<pre>{w(6)}</pre>", 1),
+]
+DROPPED = [
+    lambda w: f"<nav><ul><li><a href=/a>{w(1)}</a><li><a href=/b>{w(1)}</a></ul></nav>", lambda w: f"<div class='site-header wide'>{w(3)}</div>", lambda w: f"<div id=cookie-notice><p>{w(20)}.</p></div>",
+    lambda w: f"<div class=ad-slot>{w(15)}.</div>", lambda w: f"<aside><h3>{w(2)}</h3><p>{w(30)}.</p></aside>", lambda w: f"<footer><p>{w(12)}.</p></footer>", lambda w: f"<form action=/s><label>{w(2)}</label><input><button>{w(1)}</button></form>",
+    lambda w: f"<section class=comments><article><p>{w(25)}.</p></article></section>", lambda w: f"<div class=sidebar-left><p>{w(25)}.</div>", lambda w: f"<script>{w(9)}</script><style>{w(2)}</style><!-- {w(3)} -->", lambda w: f"<div hidden><p>{w(20)}.</p></div>",
+]
+
+
+def test_op4_known_articles_and_what_the_cut_changes():
+    """Pages put together from an article's blocks and from what surrounds them; the cut decides blocks that their own costs get wrong."""
+    import html
+    import re
+
+    rnd = random.Random(44)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    shells = ["<article>{}</article>", "<main>{}</main>", '<div class="entry-content">{}</div>', '<div class="post tag-news">{}</div>', "<div><div>{}</div></div>"]
+    right = changed = 0
+    for n in range(200):
+        shell = shells[n % 5]
+        parts = [rnd.choice(KEPT)(words)[0] for _ in range(rnd.randrange(3, 9))] + [KEPT[2](words)[0]] * (n % 5 > 2)
+        want = [html.unescape(re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", x))).strip() for part in parts for x in re.split(r"(?=<li)", part) if re.sub(r"<[^>]*>", "", x).strip()]
+        around = [rnd.choice(DROPPED)(words) for _ in range(6)]
+        head = rnd.choice(["<html><head><title>x</title><body>", "<head><title>x</title></head><body class=x>", ""])
+        page = head + "".join(around[:3]) + shell.format("".join(parts)) + "".join(around[3:])
+        got = op4_extract.extract_text(page).split("\n\n")
+        right += got == want
+        scores, edges = op4_extract.cut_problem(blocks := op4_extract.text_blocks(page))
+        keep = op4_extract.minimum_cut([max(x, 0) for x in scores], [max(-x, 0) for x in scores], edges)
+        changed += sum((scores[i] > 0) != keep[i] for i in range(len(blocks)))
+    assert right >= 190 and changed > 200
+
+
+def test_op4_pages_of_the_table(spark):
+    """The article element's own text, read off with regular expressions."""
+    import html
+    import re
+
+    changed = 0
+    for r in table(spark, "pages").collect():
+        article = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        plain = lambda x: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x)))).strip()
+        want = [x for x in map(plain, re.split(r"<(?:h1|p|li|ul)>|</(?:h1|p|li|ul)>", article[1])) if x] if article else []
+        assert op4_extract.extract_text(r.html or "") == "\n\n".join(want)
+        blocks = op4_extract.text_blocks(r.html or "")
+        if blocks:
+            scores, edges = op4_extract.cut_problem(blocks)
+            keep = op4_extract.minimum_cut([max(x, 0) for x in scores], [max(-x, 0) for x in scores], edges)
+            changed += sum((scores[i] > 0) != keep[i] for i in range(len(blocks)))
+    assert changed > 0
+
+
 def test_op4_minimum_cut_against_all_labellings():
     rnd = random.Random(4)
     for _ in range(60):
