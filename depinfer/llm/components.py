@@ -5,30 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.llm.common import materialize
+from depinfer.operators import graph
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node) for each node of the undirected ``edges`` (a, b).
 
-    Alternating large-star and small-star steps; each is a minimum with map-side
-    combine that is joined back, and is written before the next one reads it.
-    Null ends and loops are ignored; an empty table gives an empty result.
+    The library's star rounds, to their fixed point.  Null ends and loops are
+    ignored; an empty table gives an empty result.
     """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    for _ in range(rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        least = materialize(least, "components")
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "components")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "components")
-        joined = large.join(low, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct(), "components")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    links = edges.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.components(nodes, links).select(F.col("id").alias("node"), "component")

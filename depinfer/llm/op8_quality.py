@@ -2,9 +2,9 @@
 
 Statistics come from the whole text alone (never from ids, language, source or
 labels).  Random cosine features approximate a Gaussian kernel over them; each
-partition sums its share of the normal equations, by fold, and only these sums
-(``features`` squared numbers, from at most ``sum_partitions`` partitions) reach
-the driver.  Scores of rows by models that have not seen them, counted in
+partition sums its share of the normal equations, by fold; these sums are added
+up in ``sum_partitions`` tasks, and only what these give (``features`` squared
+numbers each) reaches the driver.  Scores of rows by models that have not seen them, counted in
 ``bins`` bins, give the isotonic calibration; it is interpolated between the
 means of its blocks, so equal steps keep the order of the scores.
 
@@ -12,9 +12,10 @@ All labelled rows outside the held-out part are learnt from, without a sample.
 
 Defined cases: a null text is empty and gets the score of the empty text;
 labels that are null or of unknown documents are ignored, rows that repeat an
-id count once each; a null ``doc_id`` is not held out; without any label, or
-with labels of one class, the score is 0.5 or that class; other columns are
-carried along by :func:`keep_good` and ignored otherwise.
+id count once each and are kept or dropped by their own text; a null ``doc_id``
+is not held out; without any label, or with labels of one class, the score is 0.5
+or that class; other columns are carried along by :func:`keep_good` and ignored
+otherwise.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _measure(batches):
 
     for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
         x = [_statistics(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("said"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "said", "x"])
 
 
 class _Fourier:
@@ -118,6 +119,18 @@ def _sums_of(fourier: _Fourier, folds: int):
     return sums
 
 
+def _added(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    gram = moment = 0.0
+    for batch in batches:
+        for g, m in zip(batch.column("gram"), batch.column("moment")):
+            gram, moment = gram + np.frombuffer(g.as_buffer()), moment + np.frombuffer(m.as_buffer())
+    if not isinstance(gram, float):
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([moment.tobytes()], pa.binary())], names=["gram", "moment"])
+
+
 def _unseen_of(fourier: _Fourier, models, bins: int):
     """Bin and label of each row under the model that has not seen its fold."""
 
@@ -152,27 +165,28 @@ def _score_of(fourier: _Fourier, model, centres, means):
             raw = fourier(batch.column("x")) @ model
             # Beyond the outer blocks a thousandth is left for the order.
             s = np.interp(raw, centres, means) * 0.998 + 0.002 * np.clip((raw + 1) / 3, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(s, 0, 1))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("said"), pa.array(np.clip(s, 0, 1))], names=["doc_id", "said", "score"])
 
     return score
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-3, folds: int = 3, bins: int = 3000, sum_partitions: int = 16, seed: int = 17) -> DataFrame:
-    """``doc_id, held_out, score`` per document; ``labels`` has doc_id and quality (0 or 1)."""
+def _scored(docs: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-3, folds: int = 3, bins: int = 3000, sum_partitions: int = 16, seed: int = 17) -> DataFrame:
+    """``doc_id, said, held_out, score`` per document; ``said`` is a hash of its text, on which alone its score depends."""
     import numpy as np
 
     held_out = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    measured = materialize(rows.mapInArrow(_measure, "doc_id bigint, x array<double>"), "op8-measured")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("said", F.xxhash64("text"))
+    measured = materialize(rows.mapInArrow(_measure, "doc_id bigint, said bigint, x array<double>"), "op8-measured")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y is not null and doc_id is not null").filter(~held_out)
     learn = materialize(measured.join(known, "doc_id").select("x", "y", F.expr(f"cast(pmod(xxhash64(doc_id, 'fold'), {folds}) as int)").alias("fold")), "op8-learn")
     stats = learn.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(N)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(N))).first()
     if not stats["n"] or stats["y"] in (0.0, 1.0):
-        return measured.select("doc_id", held_out.alias("held_out"), F.lit(stats["y"] if stats["n"] else 0.5).alias("score"))
+        return measured.select("doc_id", "said", held_out.alias("held_out"), F.lit(stats["y"] if stats["n"] else 0.5).alias("score"))
     fourier = _Fourier([stats[f"m{i}"] for i in range(N)], [max(stats[f"s{i}"], 1e-6) for i in range(N)], features, width, seed)
     d = features + 1
     gram, moment = np.zeros((folds, d, d)), np.zeros((folds, d))
-    for r in learn.coalesce(sum_partitions).mapInArrow(_sums_of(fourier, folds), "gram binary, moment binary").toLocalIterator():
+    sums = learn.select("x", "y", "fold").mapInArrow(_sums_of(fourier, folds), "gram binary, moment binary")
+    for r in sums.repartition(sum_partitions).mapInArrow(_added, "gram binary, moment binary").toLocalIterator():
         gram += np.frombuffer(r["gram"]).reshape(gram.shape)
         moment += np.frombuffer(r["moment"]).reshape(moment.shape)
 
@@ -182,8 +196,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, features: int = 256, width
     models = np.array([solve(gram.sum(0) - gram[f], moment.sum(0) - moment[f]) for f in range(folds)])
     counted = learn.mapInArrow(_unseen_of(fourier, models, bins), "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
     centres, means = isotonic([(r["bin"] + 0.5) / bins * 3 - 1 for r in counted], [float(r["n"]) for r in counted], [r["y"] for r in counted])
-    scored = measured.mapInArrow(_score_of(fourier, solve(gram.sum(0), moment.sum(0)), centres, means), "doc_id bigint, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "score")
+    scored = measured.mapInArrow(_score_of(fourier, solve(gram.sum(0), moment.sum(0)), centres, means), "doc_id bigint, said bigint, score double")
+    return scored.select("doc_id", "said", held_out.alias("held_out"), "score")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc_id, held_out, score`` per document; ``labels`` has doc_id and quality (0 or 1)."""
+    return _scored(docs, labels, **options).drop("said")
 
 
 def predict_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -192,9 +211,10 @@ def predict_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold (rows that share an id go together)."""
-    bad = score_quality(docs, labels, **options).filter(F.col("score") < threshold).select(F.col("doc_id").alias("__op8_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__op8_id")), "left_anti")
+    """The rows of ``docs`` whose score reaches the threshold."""
+    bad = _scored(docs, labels, **options).filter(F.col("score") < threshold).select(F.col("doc_id").alias("__op8_id"), F.col("said").alias("__op8_said")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__op8_id")) & (F.xxhash64(text_or_empty()) == F.col("__op8_said"))
+    return docs.join(bad, same, "left_anti")
 
 
 ship(__name__)

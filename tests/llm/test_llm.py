@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from depinfer.llm import op1_token_orc, op2_decontaminate, op3_licenses, op4_extract, op5_suffix_dedup, op6_warc, op7_packing, op8_quality, op9_minhash, op10_topk, queries, tokens
 from depinfer.llm.common import work_dir
@@ -428,6 +429,8 @@ def test_op8_held_out_accuracy_and_odd_rows(spark):
     got = queries.queries()["op8_quality"](spark, sf).toPandas()
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
     held = got.merge(labels, on="doc_id").query("held_out")
+    sure = held[(held.predicted == held.quality) & ((held.score > 0.95) | (held.score < 0.05))]
+    got_good = spark.createDataFrame(sure[["doc_id", "quality"]])
     assert len(got) == 1000 and ((held.predicted == held.quality).mean() > 0.95) and got.score.between(0, 1).all()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in got.itertuples())
     rows = docs(spark, ODD)
@@ -436,6 +439,12 @@ def test_op8_held_out_accuracy_and_odd_rows(spark):
     few = spark.createDataFrame([(51, 1, 1), (55, 0, 1), (54, 1, 0), (53, 0, 0), (999, 1, 0), (51, 1, 1)], "doc_id bigint, quality int, text int")
     assert op8_quality.predict_quality(rows, few).count() == len(ODD)
     assert op8_quality.keep_good(rows, few).columns == rows.columns
+    good, bad = ([r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(got_good, "doc_id").filter(f"quality = {q}").orderBy("doc_id").limit(3).collect()] for q in (1, 0))
+    # Rows that share an id are kept or dropped by their own text.
+    mixed = docs(spark, [(7, good[0]), (7, bad[0]), (None, good[1]), (None, bad[1]), (8, good[0]), (7, bad[0])])
+    again = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumns({"start": F.lit(0), "n_chars": F.lit("z")}).unionByName(mixed.withColumn("doc_id", F.col("doc_id") + 10**6))
+    kept = {(r.doc_id, r.text) for r in op8_quality.keep_good(again, spark.read.parquet(f"{sf}/labels.parquet")).filter("start = 7").collect()}
+    assert kept == {(10**6 + 7, good[0]), (None, good[1]), (10**6 + 8, good[0])}
     assert op8_quality.predict_quality(docs(spark, []), few).count() == 0
 
 
