@@ -501,3 +501,50 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, SMALL)
     assert packed.select("doc_id").distinct().count() == n
     assert corpus_pipeline.run(spark, SMALL).count() == packed.count()
+
+
+def test_pipeline_gives_ids_and_removes_its_work(spark, tokenizer):
+    import os
+
+    import corpus_pipeline
+    from depinfer.functions.storage import work_folder
+
+    folder = work_folder(spark).removeprefix("file://")
+    tables = {t.name for t in spark.catalog.listTables()}
+    before = {x for x in os.listdir(folder) if x.startswith(("op", "pipeline"))}
+    out = corpus_pipeline.run(spark, SMALL)
+    left = {x for x in os.listdir(folder) if x.startswith(("op", "pipeline"))} - before
+    assert len(left) == 1 and out.work_path.endswith(left.pop())
+    for r in out.limit(50).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32 and (r.start + r.length < r.doc_tokens or ids[-1] == 1)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_stages_with_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, equal rows, very long texts, empty tables and clashing columns through every stage."""
+    import corpus_pipeline
+
+    good = [r.text for r in table(spark, "documents").join(table(spark, "labels").filter("quality = 1"), "doc_id").orderBy("doc_id").select("text").limit(12).collect()]
+    rows = [(10**6 + i, x) for i, x in enumerate(good)] + [(None, good[0] + " and more"), (10**6, good[0]), (10**6, good[0]), (10**6 + 1, None), (None, None), (5, ""), (6, " \n"), (7, " ".join(good) * 20), (8, "x")]
+    names = "parts key row words windows score n_tokens said rank centre start length __at".split()
+    odd = spark.createDataFrame([(i, x, "xx", *range(len(names))) for i, x in rows], "doc_id bigint, text string, lang string, " + ", ".join(f"{c} int" for c in names))
+    texts = lambda df: sorted(map(str, (r.text for r in df.collect())))
+    for name, stage in corpus_pipeline.STAGES:
+        got = corpus_pipeline.materialize(stage(spark, odd, SMALL), "odd")
+        none = stage(spark, odd.limit(0), SMALL)
+        assert none.count() == 0
+        if name == "packing":
+            assert got.filter("start = 0").count() == len(rows)
+            continue
+        assert got.schema.names == odd.schema.names == none.schema.names
+        if name == "quality":
+            # Equal texts get equal scores, whatever their ids.
+            assert {t for t in texts(got)}.isdisjoint(set(texts(odd.exceptAll(got))))
+        elif name == "near_duplicates":
+            kept = texts(got)
+            assert kept.count(good[0]) == 1 and kept.count("None") == 2 and "" in kept and " \n" in kept and got.filter(f"text = '{good[0][:0]}x'").count() == 1
+        elif name == "repeated_strings":
+            assert got.count() == len(rows) and got.filter("text is null").count() == 2 and got.filter(f"doc_id = 7 and text = ''").count() == 1
+        else:
+            assert got.filter("text is null").count() == 2 and got.count() <= len(rows)
