@@ -86,12 +86,14 @@ def marked_words(text):
 def _windows(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
     """``keep, at, hash, opened`` for each window of the ``widths`` of ``words``, and of ``open`` where that differs and is not all placeholders."""
     placed = rows.filter(F.size("words") >= min(widths)).select(*keep, "words", "open", F.explode(F.expr(f"sequence(0, size(words) - {min(widths)})")).alias("at"))
-    hashed = lambda words, n: F.xxhash64(F.lit(n), *(F.expr(f"get({words}, at + {i})") for i in range(n)))
     kinds = []
     for n in widths:
-        says = F.expr(" or ".join(f"get(open, at + {i}) > '\x05'" for i in range(n)))
-        fits = F.col("at") + n <= F.size("words")
-        kinds += [F.when(fits, hashed("words", n)).alias(f"h{n}"), F.when(fits & says, hashed("open", n)).alias(f"g{n}")]
+        # The smallest width always fits; beyond it a window may reach past the end.
+        word = "{}[at + {}]" if n == min(widths) else "get({}, at + {})"
+        hashed = lambda words: F.xxhash64(F.lit(n), *(F.expr(word.format(words, i)) for i in range(n)))  # noqa: B023, E731
+        says = F.expr(" or ".join(f"{word.format('open', i)} > '\x05'" for i in range(n)))
+        fits = F.lit(True) if n == min(widths) else F.col("at") + n <= F.size("words")
+        kinds += [F.when(fits, hashed("words")).alias(f"h{n}"), F.when(fits & says, hashed("open")).alias(f"g{n}")]
     both = placed.select(*keep, "at", *kinds)
     lists = []
     for n in widths:

@@ -259,7 +259,7 @@ def _place_of(slots):
                 row = rows[np.searchsorted(rows[:, 0], rank[at], "right") - 1]
                 within = rank[at] - row[:, 0]
                 sequence[at], slot[at] = row[:, 2] + within // row[:, 1], row[:, 3] + within % row[:, 1]
-            kept = [c for c in batch.schema.names if c not in ("class", "rank")]
+            kept = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(slot)], names=[*kept, "sequence_id", "slot"])
 
     return place
@@ -270,18 +270,24 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, ca
 
     With ``keep_ids`` also ``ids``: the piece's ids as little-endian unsigned 32-bit integers.
     """
-    spark, more = docs.sparkSession, ["ids"] if keep_ids else []
+    spark = docs.sparkSession
     tokenizer = broadcast_tokenizer(spark, tokenizer_path or default_tokenizer())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = materialize(rows.mapInArrow(_pieces_of(tokenizer, end_id, capacity, grain, keep_ids), PIECES + ", ids binary" * keep_ids), "op7-pieces")
+    pieces = materialize(rows.mapInArrow(_pieces_of(tokenizer, end_id, capacity, grain, keep_ids), PIECES + ", ids binary" * keep_ids), "op7-pieces", "zstd" if keep_ids else None)
     counted = materialize(pieces.groupBy("class", "part").agg(F.count("*").alias("n")), "op7-counts")
     before = counted.select("class", "part", (F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).alias("before"))
     demand = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(solve_patterns(demand, capacity // grain)))
-    ranked = pieces.join(before.hint("shuffle_hash"), ["class", "part"]).withColumn("rank", F.col("before") + F.col("seen"))
-    placed = ranked.select(*PLACED, *more, "class", "rank").mapInArrow(_place_of(slots), "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint," + " ids binary," * keep_ids + " sequence_id bigint, slot int")
+    ranked = pieces.drop("ids").join(before.hint("shuffle_hash"), ["class", "part"])
+    ranked = ranked.select(*PLACED, "part", "class", "seen", (F.col("before") + F.col("seen")).alias("rank"))
+    placed = ranked.mapInArrow(_place_of(slots), PIECES + ", sequence_id bigint, slot int")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot")) - F.col("length")
-    return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", offset.cast("long").alias("offset"), *more)
+    key = ["part", "class", "seen"]
+    out = placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", offset.cast("long").alias("offset"), *key)
+    if keep_ids:
+        # Placed without them, so that they move once.
+        out = out.join(pieces.select(*key, "ids"), key)
+    return out.drop(*key)
 
 
 ship(__name__)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.llm.common import materialize, ship, text_or_empty
+from depinfer.llm.common import discard, materialize, ship, text_or_empty
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "long_words", "distinct_words", "top_word", "same_as_before", "distinct_pairs", "distinct_fourths",
@@ -195,6 +195,7 @@ def _scored(docs: DataFrame, labels: DataFrame, features: int = 256, width: floa
 
     models = np.array([solve(gram.sum(0) - gram[f], moment.sum(0) - moment[f]) for f in range(folds)])
     counted = learn.mapInArrow(_unseen_of(fourier, models, bins), "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    discard(learn)
     centres, means = isotonic([(r["bin"] + 0.5) / bins * 3 - 1 for r in counted], [float(r["n"]) for r in counted], [r["y"] for r in counted])
     scored = measured.mapInArrow(_score_of(fourier, solve(gram.sum(0), moment.sum(0)), centres, means), "doc_id bigint, said bigint, score double")
     return scored.select("doc_id", "said", held_out.alias("held_out"), "score")

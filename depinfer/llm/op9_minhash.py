@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.llm.common import bucketed, materialize, process_cache, release, ship, text_or_empty
+from depinfer.llm.common import bucketed, discard, materialize, process_cache, release, ship, text_or_empty
 from depinfer.llm.components import connected_components
 
 #: Words whose hashes one Python worker keeps.
@@ -235,7 +235,7 @@ def near_duplicate_components(held: DataFrame, part: int = 85, whole: int = 100,
     shared = materialize(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "op9-shared")
     met = materialize(banded.join(shared, "bucket"), "op9-met")
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
-    met = materialize(met.join(weight, "rep"), "op9-weighed")
+    buckets, met = met, materialize(met.join(weight, "rep"), "op9-weighed")
     centres = met.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c"), F.max("n").alias("most")).select("bucket", (-F.col("c.minus")).alias("centre"))
     centres = materialize(centres, "op9-centres")
     stars = materialize(met.join(centres, "bucket").filter("rep <> centre").select("centre", "rep").distinct(), "op9-stars")
@@ -253,6 +253,7 @@ def near_duplicate_components(held: DataFrame, part: int = 85, whole: int = 100,
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("component"))
     of_comp = materialize(comp.groupBy("component").agg(F.min("least").alias("first")), "op9-of-comp")
     found = materialize(comp.join(of_comp, "component").select("f1", "f2", "n", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")), "op9-found")
+    discard(classes, shared, buckets, met, centres, stars, sets, links, first, late, linked, of_comp)
     out = some.select("key", "doc_id", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left").select("key", "doc_id", "n", "component_id", "first_key")
     alone = signed.filter("n = 0").select("key", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("key").alias("first_key"))
     return out.unionByName(alone).withColumnRenamed("n", "n_shingles")
