@@ -46,3 +46,14 @@ def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     before = counts.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
     # One row for each range: at most the number of shuffle partitions.
     return within.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__range", "__at", "__before")
+
+
+def running_sum(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before in the given order (which must be total); no task sees all rows."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    within = ranged.withColumn("__at", F.sum(value).over(Window.partitionBy("__range").orderBy(*order)) - F.col(value))
+    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    ahead = sums.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__ahead"))
+    # One row for each range: at most the number of shuffle partitions.
+    return within.join(F.broadcast(ahead), "__range").withColumn(name, F.col("__at") + F.col("__ahead")).drop("__range", "__at", "__ahead")

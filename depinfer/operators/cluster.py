@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depinfer.functions.storage import cut, with_index
+from depinfer.functions.storage import cut, running_sum, with_index
 from depinfer.operators import graph as G
 from depinfer.operators.hac import cross_product, demean
 
-#: Nodes up to which a spectrum is computed densely on the driver (8 n**2 bytes).
-DENSE_NODES = 5_000
+#: Nodes up to which all eigenvalues are computed densely on the driver (8 n**2 bytes), and up to which eigenvectors are.
+SPECTRUM_NODES, DENSE_NODES = 20_000, 5_000
+#: Columns of a block when eigenvalues are computed on the executors.
+BLOCK_COLUMNS = 512
 #: Entries of the Laplacian up to which its sparse products are made on the driver (24 bytes each).
 SPARSE_ENTRIES = 4_000_000
 #: Cycles of filter and Rayleigh-Ritz before eigenvectors are given up.
@@ -34,13 +36,17 @@ def max_conductance(clusters: DataFrame, edges: DataFrame, weight: str | None =
 
 
 def positional_labels(labelled: DataFrame) -> DataFrame:
-    """Labels by position: blocks in the order of the sorted labels, laid over the rows in id order."""
-    from pyspark.sql.window import Window
+    """Labels by position: blocks in the order of the sorted labels, laid over the rows in id order.
 
-    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("size"))
-    blocks = sizes.select("cluster", (F.sum("size").over(Window.orderBy("cluster")) - F.col("size")).alias("lo"), F.sum("size").over(Window.orderBy("cluster")).alias("hi"))
-    indexed = with_index(labelled.drop("cluster"), "id")
-    return indexed.join(F.broadcast(blocks), (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))).drop("idx", "lo", "hi")
+    Blocks and rows meet by stretches of a block's average length, of which a
+    block overlaps about two.
+    """
+    sizes = running_sum(labelled.groupBy("cluster").agg(F.count("*").alias("size")), "size", "cluster", name="lo")
+    total = sizes.agg(F.count("*").alias("k"), F.sum("size").alias("n")).first()
+    stretch = max(1, (total["n"] or 1) // max(total["k"], 1))
+    blocks = sizes.select("cluster", "lo", (F.col("lo") + F.col("size")).alias("hi"), F.explode(F.expr(f"sequence(lo div {stretch}, (lo + size - 1) div {stretch})")).alias("stretch"))
+    indexed = with_index(labelled.drop("cluster"), "id").withColumn("stretch", F.expr(f"idx div {stretch}"))
+    return indexed.join(blocks, "stretch").filter("idx >= lo and idx < hi").drop("idx", "lo", "hi", "stretch")
 
 
 def cluster_var(scores: DataFrame, columns: Sequence[str], layout: str = "labels"):
@@ -59,26 +65,116 @@ def cluster_var(scores: DataFrame, columns: Sequence[str], layout: str = "labels
 def _dense(nodes: DataFrame, edges: DataFrame, weight: str | None):
     import numpy as np
 
-    n = nodes.count()
-    if n > DENSE_NODES:
-        raise ValueError(f"{n} nodes; a dense spectrum is computed up to {DENSE_NODES}")
     ids = np.sort(nodes.select("id").toPandas()["id"].to_numpy())
     entries = G.laplacian(nodes, edges, weight).toPandas()
-    matrix = np.zeros((n, n))
-    matrix[np.searchsorted(ids, entries["src"]), np.searchsorted(ids, entries["dst"])] = entries["value"]
-    return ids, (matrix + matrix.T) / 2
+    matrix = np.zeros((len(ids), len(ids)))
+    at = [np.searchsorted(ids, entries[c].to_numpy()) for c in ("src", "dst")]
+    np.add.at(matrix, (at[0], at[1]), entries["value"].to_numpy() / 2)
+    np.add.at(matrix, (at[1], at[0]), entries["value"].to_numpy() / 2)
+    return ids, matrix
 
 
 def spectrum(nodes: DataFrame, edges: DataFrame, giant: bool = True, weight: str | None = None) -> DataFrame:
-    """``rank, eigenvalue`` of the normalised Laplacian, ascending."""
+    """``rank, eigenvalue`` of the normalised Laplacian, ascending.
+
+    Up to ``SPECTRUM_NODES`` nodes by a dense solver on the driver, beyond that by
+    :func:`spread_eigenvalues`.
+    """
     import numpy as np
 
     if giant:
         nodes = cut(G.giant(G.components(nodes, edges)))
-        edges = G.induced(edges, nodes)
-    _, matrix = _dense(nodes, edges, weight)
-    values = np.linalg.eigvalsh(matrix)
-    return nodes.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "rank bigint, eigenvalue double")
+        edges = cut(G.induced(edges, nodes))
+    spark, n = nodes.sparkSession, nodes.count()
+    if n > SPECTRUM_NODES:
+        values = spread_eigenvalues(with_index(nodes.select("id"), "id"), G.laplacian(nodes, edges, weight), n)
+        return with_index(values, "eigenvalue", "column", name="rank").select("rank", "eigenvalue")
+    values = np.linalg.eigvalsh(_dense(nodes, edges, weight)[1])
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "rank bigint, eigenvalue double")
+
+
+def _round_robin(blocks: int) -> list[list[int]]:
+    """For each round the pair that each block belongs to; every two blocks meet once in ``blocks - 1`` rounds (an even number)."""
+    rounds, ring = [], list(range(blocks))
+    for _ in range(blocks - 1):
+        pair = [0] * blocks
+        for k in range(blocks // 2):
+            pair[ring[k]] = pair[ring[-1 - k]] = k
+        rounds.append(pair)
+        ring = [ring[0], ring[-1], *ring[1:-1]]
+    return rounds
+
+
+def _rotate(table, tolerance: float):
+    """One-sided Jacobi step on two blocks of columns: turned until orthogonal, unless they are; ``off`` is how far they were from it."""
+    import numpy as np
+    import pyarrow as pa
+
+    # Shorter columns go to the smaller block, whatever order the rows come in: else columns would wander and some never meet.
+    table = table.sort_by("block")
+    blocks = table.column("block").to_pylist()
+    parts = [np.frombuffer(x, np.float64).reshape(k, -1) for x, k in zip(table.column("data").to_pylist(), table.column("columns").to_pylist())]
+    x = np.vstack(parts)
+    gram = x @ x.T
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    off = np.abs(gram - np.diag(np.diag(gram)))
+    worst = float((off / np.maximum(np.outer(size, size), 1e-16 * np.diag(gram).max())).max()) if len(x) > 1 else 0.0
+    if worst > tolerance:
+        x = np.linalg.eigh(gram)[1].T @ x
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    turned = np.split(x, cuts)
+    return pa.table({"block": pa.array(blocks, pa.int32()), "columns": pa.array([len(p) for p in parts], pa.int32()), "data": pa.array([p.tobytes() for p in turned], pa.binary()), "off": pa.array([worst] * len(blocks))})
+
+
+def spread_eigenvalues(indexed: DataFrame, entries: DataFrame, n: int, tolerance: float = 1e-10) -> DataFrame:
+    """``column, eigenvalue`` of the symmetric matrix ``entries`` with eigenvalues from 0 to 2, on the executors.
+
+    One-sided Jacobi on blocks of columns of the matrix plus the identity, which
+    is definite: each pair of blocks is turned until its columns are orthogonal;
+    sweeps over all pairs go on until one turns none, as all are within
+    ``tolerance`` of that.  The columns' lengths then are the eigenvalues plus 1.  A task
+    holds two blocks of ``BLOCK_COLUMNS`` columns.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = -(-n // BLOCK_COLUMNS)
+    blocks += blocks % 2
+    blocks = max(blocks, 2)
+    at = indexed.select(F.col("id"), F.col("idx"))
+    placed = entries.join(at.select(F.col("id").alias("src"), F.col("idx").alias("i")), "src").join(at.select(F.col("id").alias("dst"), F.col("idx").alias("j")), "dst")
+    half = placed.select("i", "j", (F.col("value") / 2).alias("v"))
+    full = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")).unionByName(at.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("v")))
+
+    def fill(table):
+        i, j, v = (table.column(c).to_numpy() for c in ("i", "j", "v"))
+        block = int(j[0]) % blocks
+        columns = len(range(block, n, blocks))
+        x = np.zeros((columns, n))
+        np.add.at(x, (j // blocks, i), v)
+        return pa.table({"block": pa.array([block], pa.int32()), "columns": pa.array([columns], pa.int32()), "data": pa.array([x.tobytes()], pa.binary()), "off": pa.array([0.0])})
+
+    schema = "block int, columns int, data binary, off double"
+    state = cut(full.groupBy(F.expr(f"j % {blocks}")).applyInArrow(fill, schema))
+    worst, before = float("inf"), float("inf")
+    while worst > tolerance:
+        offs = []
+        for pair in _round_robin(blocks):
+            which = F.element_at(F.array(*(F.lit(p) for p in pair)), F.col("block") + 1)
+            state = cut(state.groupBy(which.alias("pair")).applyInArrow(lambda t: _rotate(t, tolerance), schema))
+            offs.append(state.agg(F.max("off")).first()[0])
+        worst = max(offs)
+        if worst > tolerance and worst >= before and before < 1e-6:
+            raise ValueError(f"eigenvalues did not converge: columns are {worst:.1e} from orthogonal")
+        before = worst
+
+    def lengths(batches):
+        for batch in batches:
+            for block, columns, data in zip(*(batch.column(c).to_pylist() for c in ("block", "columns", "data"))):
+                size = np.sqrt((np.frombuffer(data, np.float64).reshape(columns, -1) ** 2).sum(axis=1)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(columns) * blocks + block), pa.array(size)], names=["column", "eigenvalue"])
+
+    return state.mapInArrow(lengths, "column bigint, eigenvalue double")
 
 
 def spectrum_moments(nodes: DataFrame, edges: DataFrame, giant: bool = True, weight: str | None = None) -> DataFrame:
@@ -234,9 +330,11 @@ def _eigenvectors(inside: DataFrame, links: DataFrame, k: int, weight: str | Non
     return spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "id bigint, v array<double>")
 
 
-def spectral_clustering(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 0, weight: str | None = None, restarts: int = 30) -> DataFrame:
+def spectral_clustering(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 0, weight: str | None = "weight", restarts: int = 30) -> DataFrame:
     """``id, cluster``: k-means on row-normalised eigenvectors of the giant component; others get label ``k``.
 
+    The column ``weight`` counts where the edges have it.
+
     Up to ``DENSE_NODES`` nodes the eigenvectors come from a dense solver, beyond
     that from filtered subspace iteration to a residual far below the gap, with
     sparse products on the driver up to ``SPARSE_ENTRIES`` entries and on the
@@ -245,6 +343,7 @@ def spectral_clustering(nodes: DataFrame, edges: DataFrame, k: int, seed: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    weight = weight if weight in edges.columns else None
     inside = cut(G.giant(G.components(nodes, edges)))
     rows = _eigenvectors(inside, cut(G.induced(edges, inside)), k, weight)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))

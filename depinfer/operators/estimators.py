@@ -9,6 +9,7 @@ anything with ``influence`` rows (id and one column per dimension) and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,10 @@ class Estimator:
     def spark(self):
         return self.frame.sparkSession
 
+    @cached_property
+    def n(self) -> int:
+        return self.frame.count()
+
     def _columns(self, kind: str) -> list[str]:
         return [f"__{kind}{i}" for i in range(len(self.names))]
 
@@ -51,8 +56,7 @@ class Estimator:
         """``id, value``: values whose mean is the estimate of the dimension."""
         if self.is_scalar:
             return self.frame.select("id", F.col("__sum0").alias("value"))
-        n = self.frame.count()
-        row = sum((F.col(c) * float(n * self.invhessian[i, dimension]) for i, c in enumerate(self._columns("sum"))), F.lit(0.0))
+        row = sum((F.col(c) * float(self.n * self.invhessian[i, dimension]) for i, c in enumerate(self._columns("sum"))), F.lit(0.0))
         return self.frame.select("id", row.alias("value"))
 
     def estimates_by_cluster(self, dimension: int) -> list[float]:
@@ -61,10 +65,9 @@ class Estimator:
     def _sandwich(self, variance) -> list[float]:
         import numpy as np
 
-        n = self.frame.count()
         if self.is_scalar:
-            return [dist.root_of_nonnegative(float(variance[0, 0]) / n)]
-        vcov = n * self.invhessian @ variance @ self.invhessian
+            return [dist.root_of_nonnegative(float(variance[0, 0]) / self.n)]
+        vcov = self.n * self.invhessian @ variance @ self.invhessian
         self.vcov = vcov
         return [dist.root_of_nonnegative(float(x)) for x in np.diag(vcov)]
 
@@ -81,10 +84,11 @@ class Estimator:
         self.network_se_result = self._sandwich(self.network_hac_result.matrix)
         return self._table(self.network_se_result, level)
 
-    def get_clusters(self, num_clusters: int = 5, clusters: DataFrame | None = None, seed: int = 0, weight: str | None = None) -> DataFrame:
+    def get_clusters(self, num_clusters: int = 5, clusters: DataFrame | None = None, seed: int = 0, weight: str | None = "weight") -> DataFrame:
         """Take ``clusters`` (id, cluster) or make them by spectral clustering; keeps them and their conductance."""
         nodes = self.frame.select("id")
         self.clusters = cut(clusters if clusters is not None else cluster.spectral_clustering(nodes, self.edges, num_clusters, seed, weight))
+        weight = weight if self.edges is not None and weight in self.edges.columns else None
         self.conductance = cluster.max_conductance(self.clusters, self.edges, weight) if self.edges is not None else None
         return self.clusters
 

@@ -78,17 +78,18 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], d
 def ball(nodes: DataFrame, edges: DataFrame, hops: int | None) -> DataFrame:
     """``i, j, d``: reachable pairs up to ``hops`` steps (all if None), the node itself included.
 
-    A frontier is joined with the edges once a hop; what was reached before is
-    dropped by an anti-join.
+    A frontier is joined with the edges once a hop.  Edges go both ways, so a
+    step leads to the last frontier, the one before it or a new one: an anti-join
+    with these two is enough, and a hop costs its own size.
     """
     step = cut(symmetrise(edges).filter("src <> dst"))
     frontier = nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0).alias("d"))
-    reached, d = frontier, 0
+    reached, last, d = frontier, frontier.limit(0), 0
     while hops is None or d < hops:
         d += 1
-        seen = reached.select("i", "j")
+        seen = frontier.select("i", "j").unionByName(last.select("i", "j"))
         found = frontier.select("i", F.col("j").alias("src")).join(step, "src").select("i", F.col("dst").alias("j")).distinct()
-        frontier = cut(found.join(seen, ["i", "j"], "left_anti").withColumn("d", F.lit(d)))
+        last, frontier = frontier, cut(found.join(seen, ["i", "j"], "left_anti").withColumn("d", F.lit(d)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
@@ -134,26 +135,37 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sources_of(shared, column: str):
+    """Breadth-first search from 64 sources for each word of a node's bitmap."""
+
     def measure(batches):
         import numpy as np
         import pandas as pd
 
         starts, targets, ids = shared.value
+        linked = np.flatnonzero(np.diff(starts))
+        words = max(1, min(16, (32 << 20) // (8 * max(len(ids), 1))))
         for batch in batches:
-            out = []
-            for source in np.searchsorted(ids, batch[column].to_numpy()):
-                far = np.full(len(ids), -1, np.int32)
-                far[source], frontier, d = 0, np.array([source]), 0
-                while len(frontier):
+            every = np.searchsorted(ids, batch[column].to_numpy())
+            for at in range(0, len(every), 64 * words):
+                sources = every[at : at + 64 * words]
+                n = len(sources)
+                bit = np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)
+                front = np.zeros((len(ids), words), np.uint64)
+                np.bitwise_or.at(front, (sources, np.arange(n) // 64), bit)
+                seen, d = front.copy(), 0
+                total, furthest, reached = (np.zeros(64 * words, np.int64) for _ in range(3))
+                while len(linked):
                     d += 1
-                    n = starts[frontier + 1] - starts[frontier]
-                    at = np.repeat(starts[frontier] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    near = np.unique(targets[at])
-                    frontier = near[far[near] < 0]
-                    far[frontier] = d
-                found = far[far > 0]
-                out.append((ids[source], int(found.sum()), int(found.max(initial=0)), len(found)))
-            yield pd.DataFrame(out, columns=["id", "total", "furthest", "reached"])
+                    near = np.bitwise_or.reduceat(front[targets], starts[linked], axis=0) & ~seen[linked]
+                    some = np.flatnonzero(near.any(axis=1))
+                    if not len(some):
+                        break
+                    count = np.unpackbits(near[some].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    total, furthest, reached = total + d * count, np.where(count > 0, d, furthest), reached + count
+                    front[:] = 0
+                    front[linked[some]] = near[some]
+                    seen[linked[some]] |= near[some]
+                yield pd.DataFrame({"id": ids[sources], "total": total[:n], "furthest": furthest[:n].astype(np.int32), "reached": reached[:n]})
 
     return measure
 
@@ -162,7 +174,7 @@ def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, total, furthest, reached`` over the paths from each node.
 
     Up to ``BROADCAST_EDGES`` directed edges (counted first) the adjacency is
-    broadcast and sources are spread over tasks, so no pair is ever shuffled;
+    broadcast and sources are spread over tasks, many to a search, so no pair is ever shuffled;
     beyond that the frontier join gives the pairs.
     """
     spark = nodes.sparkSession
@@ -176,7 +188,8 @@ def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         order = np.argsort(src, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]).astype(np.int64)
         shared = spark.sparkContext.broadcast((starts, dst[order], ids))
-        spread = nodes.select("id").repartition(spark.sparkContext.defaultParallelism * 4)
+        # A task searches from 1,024 sources at a time.
+        spread = nodes.select("id").repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, -(-len(ids) // 1024))))
         return spread.mapInPandas(_sources_of(shared, "id"), "id bigint, total bigint, furthest int, reached bigint")
     pairs = ball(nodes, edges, None).filter("d > 0")
     return nodes.select("id").join(pairs.groupBy(F.col("i").alias("id")).agg(F.sum("d").alias("total"), F.max("d").alias("furthest"), F.count("*").alias("reached")), "id", "left").na.fill(0)

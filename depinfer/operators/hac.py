@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from math import inf, log
 
 from pyspark.sql import DataFrame
@@ -14,12 +15,17 @@ from depinfer.operators import graph as G
 from depinfer.operators.summary import average_path
 
 
-@dataclass(frozen=True)
+@dataclass
 class Hac:
     matrix: object
-    apl: float
     bandwidth: int
     pd_failure: bool
+    measure: Callable[[], float]
+
+    @cached_property
+    def apl(self) -> float:
+        """The average path length; measured when asked for, as a given bandwidth does not need it."""
+        return self.measure()
 
 
 def demean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -80,17 +86,18 @@ def network_hac(scores: DataFrame, columns: Sequence[str], edges: DataFrame | No
     """
     z = cut(demean(scores.select("id", *columns), columns))
     if b == 0:
-        return _checked(cross_product(z, columns, columns) / z.count(), 0.0, 0, None)
-    nodes, apl = z.select("id"), float("nan")
+        return _checked(cross_product(z, columns, columns) / z.count(), lambda: 0.0, 0, None)
+    nodes, measure = z.select("id"), lambda: average_path(z.select("id"), edges)[0]
     if b is None:
         apl, b, _ = bandwidth_rule(nodes, edges)
+        measure = lambda: apl
     pairs = G.ball(nodes, edges, b).select("i", "j")
-    return _checked(kernel_variance(z, columns, pairs), apl, b, lambda: normalised_kernel_variance(z, columns, pairs))
+    return _checked(kernel_variance(z, columns, pairs), measure, b, lambda: normalised_kernel_variance(z, columns, pairs))
 
 
-def _checked(matrix, apl: float, b: int, fallback) -> Hac:
+def _checked(matrix, measure: Callable[[], float], b: int, fallback) -> Hac:
     import numpy as np
 
     symmetric = (matrix + matrix.T) / 2
     failed = bool((np.linalg.eigvalsh(symmetric) <= 0).any())
-    return Hac(fallback() if failed and fallback else symmetric, apl, b, failed)
+    return Hac(fallback() if failed and fallback else symmetric, b, failed, measure)

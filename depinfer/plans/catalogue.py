@@ -300,6 +300,43 @@ def network_se_ipw(spark, d):
     return _ipw(spark, d).network_se(b=2).select(r("estimate", 4).alias("estimate"), r("se", 4).alias("se"))
 
 
+_BANDWIDTH = "bw AS (SELECT CAST(round_even(CASE WHEN apl < 2 * ln(n) / ln(k) THEN apl / 2 ELSE cbrt(apl) END, 0) AS BIGINT) AS b FROM (SELECT t / (n * (n - 1)) AS apl, (SELECT avg(degree) FROM deg) AS k, (SELECT count(*) FROM nodes) AS n FROM l)), ball AS (SELECT i, j FROM paths, bw WHERE d <= b)"
+_HAC2 = """p AS (SELECT sum(a.s0 * b.s0) / (SELECT count(*) FROM nodes) AS p00, sum(a.s0 * b.s1) / (SELECT count(*) FROM nodes) AS p01, sum(a.s1 * b.s1) / (SELECT count(*) FROM nodes) AS p11 FROM ball JOIN z a ON a.id = i JOIN z b ON b.id = j
+), size AS (SELECT i, sqrt(count(*)) AS r FROM ball GROUP BY i), q AS (SELECT j, sum(s0 / r) AS q0, sum(s1 / r) AS q1 FROM ball JOIN z ON z.id = ball.i JOIN size ON size.i = ball.i GROUP BY j
+), fb AS (SELECT sum(q0 * q0) / (SELECT count(*) FROM nodes) AS f00, sum(q0 * q1) / (SELECT count(*) FROM nodes) AS f01, sum(q1 * q1) / (SELECT count(*) FROM nodes) AS f11 FROM q
+), v AS (SELECT if(ok, p00, f00) AS v00, if(ok, p01, f01) AS v01, if(ok, p11, f11) AS v11 FROM (SELECT *, p00 > 0 AND p00 * p11 - p01 * p01 > 0 AS ok FROM p, fb))"""
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.REACH, X.PATHS, X.DEGREES, _LENGTHS, _BANDWIDTH, _SCORES, _HAC2, select=_SANDWICH))
+def network_se_default_ols(spark, d):
+    return _rounded(E.OLS(X.customers(spark, d), "y", ["x2"], X.chain(spark, d)).network_se())
+
+
+_SCORES_IV = """g AS (SELECT regr_intercept(x2, x1) AS g0, regr_slope(x2, x1) AS g1, covar_pop(x1, y) / covar_pop(x1, x2) AS b1, avg(y) AS my, avg(x2) AS mx FROM nodes
+), iv AS (SELECT id, y, x2, g0 + g1 * x1 AS xh, my - b1 * mx AS b0, b1 FROM nodes, g
+), f0 AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, count(*) AS n, sum(xh) AS sx, sum(xh * xh) AS sxx FROM iv
+), h AS (SELECT *, sxx / (n * sxx - sx * sx) AS h00, -sx / (n * sxx - sx * sx) AS h01, n / (n * sxx - sx * sx) AS h11 FROM f0
+), sc AS (SELECT id, y - b0 - b1 * x2 AS s0, xh * (y - b0 - b1 * x2) AS s1 FROM iv
+), z AS (SELECT id, s0 - avg(s0) OVER () AS s0, s1 - avg(s1) OVER () AS s1 FROM sc)"""
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.REACH, X.PATHS, X.DEGREES, _LENGTHS, _BANDWIDTH, _SCORES_IV, _HAC2, select=_SANDWICH))
+def network_se_default_tsls(spark, d):
+    return _rounded(E.TSLS(X.customers(spark, d), "y", ["x2"], ["x1"], X.chain(spark, d)).network_se())
+
+
+_IV2 = """w AS (SELECT *, CAST(nation AS DOUBLE) AS x3 FROM nodes
+), m AS (SELECT avg(y) AS my, avg(x2) AS mx, var_pop(x1) AS v1, var_pop(x3) AS v3, covar_pop(x1, x3) AS v13, covar_pop(x1, x2) AS c1, covar_pop(x3, x2) AS c3, covar_pop(x1, y) AS d1, covar_pop(x3, y) AS d3 FROM w
+), a AS (SELECT *, (c1 * v3 - c3 * v13) / (v1 * v3 - v13 * v13) AS a1, (c3 * v1 - c1 * v13) / (v1 * v3 - v13 * v13) AS a3 FROM m
+), b AS (SELECT my, mx, (a1 * d1 + a3 * d3) / (a1 * c1 + a3 * c3) AS b FROM a)"""
+
+
+@query(X.sql(X.NODES, _IV2, select="SELECT 'const' AS name, round(my - b * mx, 4) AS estimate FROM b UNION ALL SELECT 'x2', round(b, 4) FROM b"))
+def tsls_overidentified(spark, d):
+    data = X.customers(spark, d).withColumn("x3", F.col("nation").cast("double"))
+    return spark.createDataFrame(_fit(E.TSLS(data, "y", ["x2"], ["x1", "x3"])), "name string, estimate double")
+
+
 # Clusters
 
 _CONDUCTANCE = """c AS (SELECT a.cluster, sum(CASE WHEN a.cluster <> b.cluster THEN 1.0 ELSE 0 END) AS cut, CAST(count(*) AS DOUBLE) AS volume FROM sym JOIN clusters a ON a.id = src JOIN clusters b ON b.id = dst GROUP BY a.cluster
@@ -394,26 +431,101 @@ def arand_ci(spark, d):
     return _ols_in_segments(spark, d).arand_ci(-200, 200, dimension=1, coverage=0.9).select(r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
 
 
+@query(X.sql(X.NODES, X.NATIONS, _SCORES_IV, "c AS (SELECT sum(s0) AS s0, sum(s1) AS s1 FROM z JOIN clusters USING (id) GROUP BY cluster), v AS (SELECT sum(s0 * s0) / (SELECT count(*) FROM nodes) AS v00, sum(s0 * s1) / (SELECT count(*) FROM nodes) AS v01, sum(s1 * s1) / (SELECT count(*) FROM nodes) AS v11 FROM c)", select=_SANDWICH))
+def cluster_se_tsls(spark, d):
+    model = E.TSLS(X.customers(spark, d), "y", ["x2"], ["x1"])
+    model.get_clusters(clusters=X.nations(spark, d))
+    return _rounded(model.cluster_se())
+
+
+def _ipw_in_segments(spark, d) -> E.IPW:
+    model = _ipw(spark, d)
+    model.get_clusters(clusters=X.segments(spark, d))
+    return model
+
+
+_THETA_IPW = "theta AS (SELECT cluster, avg(v) AS t FROM w JOIN clusters USING (id) GROUP BY cluster)"
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.DEGREES, _EXPOSURE, X.NATIONS, "z AS (SELECT id, v - avg(v) OVER () AS z FROM w), c AS (SELECT sum(z) AS s FROM z JOIN clusters USING (id) GROUP BY cluster)", select="SELECT round((SELECT avg(v) FROM w), 4) AS estimate, round(sqrt(sum(s * s)) / (SELECT count(*) FROM nodes), 4) AS se FROM c"))
+def cluster_se_ipw(spark, d):
+    model = _ipw(spark, d)
+    model.get_clusters(clusters=X.nations(spark, d))
+    return model.cluster_se().select(r("estimate", 4).alias("estimate"), r("se", 4).alias("se"))
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.DEGREES, _EXPOSURE, X.SEGMENTS, _THETA_IPW, select=f"SELECT round(avg(t) - {dist.t_quantile(0.975, 4)!r} * stddev_pop(t) / sqrt(count(*)), 3) AS ci_lo, round(avg(t) + {dist.t_quantile(0.975, 4)!r} * stddev_pop(t) / sqrt(count(*)), 3) AS ci_hi FROM theta"))
+def trobust_ci_ipw(spark, d):
+    return _ipw_in_segments(spark, d).trobust_ci().select(r("ci_lo", 3).alias("ci_lo"), r("ci_hi", 3).alias("ci_hi"))
+
+
+@query(X.sql(X.NODES, X.SEGMENTS, "theta AS (SELECT cluster, covar_pop(x1, y) / covar_pop(x1, x2) AS t FROM nodes JOIN clusters USING (id) GROUP BY cluster)", _SIGNS, select="SELECT round(avg(CASE WHEN abs(s + 3.0 * n) >= abs(total + 15.0) - 1e-9 THEN 1.0 ELSE 0 END), 6) AS p_value, round(max(abs(total + 15.0)) / 5, 4) AS statistic FROM sums, tot"))
+def arand_pvalue_tsls(spark, d):
+    model = E.TSLS(X.customers(spark, d), "y", ["x2"], ["x1"])
+    model.get_clusters(clusters=X.segments(spark, d))
+    p, t = model.arand_test(-3.0, dimension=1)
+    return _one(spark, "p_value double, statistic double", round(p, 6), round(t, 4))
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.GEOMETRIC.replace("edges AS", "near AS").replace("FROM edges", "FROM near").replace("sym AS", "near_sym AS"), X.SEGMENTS, "ends AS (SELECT a.cluster AS ls, b.cluster AS lt FROM near_sym JOIN clusters a ON a.id = src JOIN clusters b ON b.id = dst), c AS (SELECT ls, avg(CASE WHEN ls <> lt THEN 1.0 ELSE 0 END) AS share FROM ends GROUP BY ls)", select="SELECT (SELECT count(*) FROM clusters) AS n, (SELECT count(DISTINCT cluster) FROM clusters) AS k, round(max(share), 9) AS conductance FROM c"))
+def get_clusters_given(spark, d):
+    model = E.OLS(X.customers(spark, d), "y", ["x2"], X.geometric(spark, d))
+    found = model.get_clusters(clusters=X.segments(spark, d)).agg(F.count("*"), F.count_distinct("cluster")).first()
+    return _one(spark, "n bigint, k bigint, conductance double", *found, round(float(model.conductance), 9))
+
+
 # Resampling
 
 _DRAWS = f"""n AS (SELECT count(*) AS n, avg(y) AS m, stddev_pop(y) AS sd FROM nodes
 ), v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, (y - m) / sd AS z FROM nodes, n
-), k AS (SELECT k, k // n AS draw, CAST(floor({X.uniform_sql('7/i', 'k')} * n) AS BIGINT) AS i, CAST(floor({X.uniform_sql('7/j', 'k')} * (n - 1)) AS BIGINT) AS step, n FROM n, range(CAST(200 * n AS BIGINT)) x(k)
+), k AS (SELECT k, k // n AS draw, CAST(floor({X.uniform_sql('7/i', 'k')} * n) AS BIGINT) AS i, CAST(floor({X.uniform_sql('7/j', 'k')} * (n - 1)) AS BIGINT) AS step, n FROM n, range(CAST(1000 * n AS BIGINT)) x(k)
 ), s AS (SELECT draw, sum(a.z * b.z) AS a, sum(a.z + b.z) AS b FROM k JOIN v a ON a.idx = i JOIN v b ON b.idx = (i + 1 + step) % n GROUP BY draw)"""
 _CRITICAL = repr(dist.chi2_one_quantile(0.96))
 _STAT = "(a - ((mu - m) / sd) * b + n * ((mu - m) / sd) * ((mu - m) / sd)) / sqrt(n) - sqrt(n) / n"
-_MONEY = {"start": "3000.0", "stop": "6000.0", "size": 61, "last": 60}
+_MONEY = {"start": "3000.0", "stop": "6000.0", "size": 151, "last": 150}
 
 
 @query(X.sql(X.NODES, _DRAWS, f"q AS (SELECT {_STAT} AS s FROM s, n, (SELECT 4500.0 AS mu))", select=f"SELECT round(avg(CASE WHEN s * s <= {_CRITICAL} THEN 1.0 ELSE 0 END), 6) AS rcf, CASE WHEN avg(CASE WHEN s * s <= {_CRITICAL} THEN 1.0 ELSE 0 END) >= 0.95 THEN 'Not reject' ELSE 'Reject' END AS result FROM q"))
 def drobust_test(spark, d):
-    found = RS.drobust_test(_y(spark, d), "y", 4500.0, draws=200, seed=7)
+    found = RS.drobust_test(_y(spark, d), "y", 4500.0, seed=7)
     return _one(spark, "rcf double, result string", round(found["rcf"], 6), found["result"])
 
 
 @query(X.sql(X.NODES, _DRAWS, _GRID.format(**_MONEY), f"acc AS (SELECT mu, avg(CASE WHEN ({_STAT}) * ({_STAT}) <= {_CRITICAL} THEN 1.0 ELSE 0 END) >= 0.95 AS ok FROM s, n, grid GROUP BY mu)", select=_HULL.format(**_MONEY)))
 def drobust_ci(spark, d):
-    return RS.drobust_ci(_y(spark, d), "y", 3000.0, 6000.0, grid_size=61, draws=200, seed=7).select(r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
+    return RS.drobust_ci(_y(spark, d), "y", 3000.0, 6000.0, seed=7).select(r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
+
+
+def _influence(draws: int, values: str) -> str:
+    return _DRAWS.replace("n AS (SELECT count(*) AS n, avg(y) AS m, stddev_pop(y) AS sd FROM nodes", f"{values}, n AS (SELECT count(*) AS n, avg(y) AS m, stddev_pop(y) AS sd FROM vals").replace("(y - m) / sd AS z FROM nodes, n", "(y - m) / sd AS z FROM vals, n")
+
+
+_SLOPE = _influence(1000, _SCORES + ", vals AS (SELECT nodes.id, h.n * (h01 * nodes.y + h11 * x2 * nodes.y) AS y FROM nodes, h)")
+_CONST = _influence(1000, _SCORES + ", vals AS (SELECT nodes.id, h.n * (h00 * nodes.y + h01 * x2 * nodes.y) AS y FROM nodes, h)")
+_EFFECT = _influence(1000, "vals AS (SELECT id, v AS y FROM w)")
+_WIDER = {"start": "-6000.0", "stop": "9000.0", "size": 151, "last": 150}
+
+
+@query(X.sql(X.NODES, _SLOPE, f"q AS (SELECT {_STAT} AS s FROM s, n, (SELECT 0.0 AS mu))", select=f"SELECT CASE WHEN avg(CASE WHEN s * s <= {_CRITICAL} THEN 1.0 ELSE 0 END) >= 0.95 THEN 'Not reject' ELSE 'Reject' END AS result FROM q"))
+def drobust_test_ols(spark, d):
+    return _one(spark, "result string", E.OLS(X.customers(spark, d), "y", ["x2"]).drobust_test(0.0, dimension=1, seed=7))
+
+
+def _interval_sql(values: str) -> str:
+    return values + ", " + _GRID.format(**_WIDER) + f", acc AS (SELECT mu, avg(CASE WHEN ({_STAT}) * ({_STAT}) <= {_CRITICAL} THEN 1.0 ELSE 0 END) >= 0.95 AS ok FROM s, n, grid GROUP BY mu)"
+
+
+_BOTH = "WITH " + ", ".join(f"d{k} AS (WITH {X.NODES}, {_interval_sql(v)} {_HULL.format(**_WIDER)})" for k, v in enumerate((_CONST, _SLOPE)))
+
+
+@query(_BOTH + " SELECT CAST(0 AS INTEGER) AS dim, * FROM d0 UNION ALL SELECT 1, * FROM d1")
+def drobust_ci_ols(spark, d):
+    return E.OLS(X.customers(spark, d), "y", ["x2"]).drobust_ci(-6000.0, 9000.0, seed=7).select("dim", r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
+
+
+@query(X.sql(X.NODES, X.CHAIN, X.DEGREES, _EXPOSURE, _interval_sql(_EFFECT), select=_HULL.format(**_WIDER)))
+def drobust_ci_ipw(spark, d):
+    return _ipw(spark, d).drobust_ci(-6000.0, 9000.0, seed=7).select(r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
 
 
 # Spectra; SQL has no eigenvalues, so the sums that fix them are what is compared
@@ -441,6 +553,32 @@ def spectral_clusters(spark, d):
     return C.spectral_clustering(X.customers(spark, d), X.geometric(spark, d), 4)
 
 
+# Nations of a region are all linked, and the first nation of each region with that of the next: the clusters must be the regions.
+_REGIONS = """edges AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
+  UNION ALL SELECT least(a, b), greatest(a, b) FROM (SELECT min(n_nationkey) AS a, lead(min(n_nationkey)) OVER (ORDER BY n_regionkey) AS b FROM nation GROUP BY n_regionkey) WHERE b IS NOT NULL
+), sym AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), clusters AS (SELECT n_nationkey AS id, n_regionkey AS cluster FROM nation)"""
+
+
+def _regions(spark, d) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql.window import Window
+
+    nation = X.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("region"))
+    a, b = nation.select(F.col("id").alias("src"), "region"), nation.select(F.col("id").alias("dst"), "region")
+    within = a.join(b, "region").filter("src < dst").select("src", "dst")
+    first = nation.groupBy("region").agg(F.min("id").alias("a")).withColumn("b", F.lead("a").over(Window.orderBy("region"))).filter("b is not null")
+    return nation.select("id", F.col("id").cast("double").alias("y")), within.unionByName(first.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+
+
+@query(X.sql(_REGIONS, _CONDUCTANCE, select="SELECT CAST(n.n_nationkey AS BIGINT) AS id, CAST(min(m.n_nationkey) AS BIGINT) AS first, round((SELECT max(conductance) FROM cond), 9) AS conductance FROM nation n JOIN nation m USING (n_regionkey) GROUP BY n.n_nationkey"))
+def get_clusters_spectral(spark, d):
+    from pyspark.sql.window import Window
+
+    nodes, edges = _regions(spark, d)
+    model = E.OLS(cut(nodes), "y", [], cut(edges))
+    found = model.get_clusters(5)
+    return found.select("id", F.min("id").over(Window.partitionBy("cluster")).alias("first"), F.lit(round(float(model.conductance), 9)).alias("conductance"))
+
+
 # Simulators
 
 _N = 300
@@ -468,18 +606,35 @@ def sim_ols(spark, d):
     return S.ols_data(spark, _N, seed=3)[0].select("id", r("y").alias("y"), r("x").alias("x"))
 
 
-@query(X.sql(_POINTS, select="SELECT id, round((CASE WHEN t THEN x + xb ELSE 0 END) + e + eb, 6) AS y, CAST(t AS INTEGER) AS ind1, 1 - CAST(t AS INTEGER) AS ind2, round(1 - pow(0.85, k), 6) AS pscores1, round(pow(0.85, k), 6) AS pscores2 FROM bar"))
+@query(X.sql(_POINTS, select="SELECT id, round((CASE WHEN t THEN (1 + x) + (1 + xb) ELSE 0 END) + e + eb, 6) AS y, CAST(t AS INTEGER) AS ind1, 1 - CAST(t AS INTEGER) AS ind2, round(1 - pow(0.85, k), 6) AS pscores1, round(pow(0.85, k), 6) AS pscores2 FROM bar"))
 def sim_ipw(spark, d):
     return S.ipw_data(spark, _N, seed=3)[0].select("id", r("y").alias("y"), "ind1", "ind2", r("pscores1").alias("pscores1"), r("pscores2").alias("pscores2"))
 
 
-@query()
+# The right side, and 60 rounds of y = c + A y / 2 over lists in id order: the error falls below 1e-17.
+_MEANS = """c AS (SELECT id, x, 1 + 3 * xb + x + e + eb AS c FROM bar
+), lists AS MATERIALIZED (SELECT list(nbrs ORDER BY id) AS nbrs, list(c ORDER BY id) AS cs FROM (SELECT c.id, c.c, coalesce(list(dst) FILTER (dst IS NOT NULL), []) AS nbrs FROM c LEFT JOIN sym ON src = c.id GROUP BY c.id, c.c)
+), walk(k, y) AS (
+  SELECT 0, cs FROM lists UNION ALL
+  SELECT k + 1, list_transform(nbrs, lambda js, i: cs[i] + coalesce(0.5 * list_avg(list_transform(js, lambda j: y[j + 1])), 0)) FROM walk, lists WHERE k < 60
+), lim AS (SELECT c.id, y[c.id + 1] AS y, x FROM c, walk WHERE k = 60)"""
+
+
+@query(X.sql(_POINTS, _MEANS, select="SELECT id, round(y, 6) AS y, round(x, 6) AS x FROM lim"))
 def sim_linear_in_means(spark, d):
     edges = S.random_geometric(spark, _N, seed=3)
     return S.linear_in_means(S._drawn(spark, _N, 3), edges).select("id", r("y").alias("y"), r("x").alias("x"))
 
 
-@query()
+_FAR = "far AS (SELECT DISTINCT a.src AS i, b.dst AS j FROM sym a JOIN sym b ON a.dst = b.src WHERE a.src <> b.dst AND (a.src, b.dst) NOT IN (SELECT src, dst FROM sym))"
+
+
+@query(
+    X.sql(
+        _POINTS, _MEANS, _FAR, "n1 AS (SELECT src AS id, avg(y) AS yb, avg(x) AS xb FROM sym JOIN lim ON lim.id = dst GROUP BY src), n2 AS (SELECT i AS id, avg(x) AS x2 FROM far JOIN lim ON lim.id = j GROUP BY i)",
+        select="SELECT lim.id, round(y, 6) AS y, round(coalesce(yb, 0), 6) AS y_bar, round(coalesce(xb, 0), 6) AS x_bar, round(x, 6) AS x, round(coalesce(x2, 0), 6) AS x_bar2 FROM lim LEFT JOIN n1 ON n1.id = lim.id LEFT JOIN n2 ON n2.id = lim.id",
+    )
+)
 def sim_tsls(spark, d):
     return S.tsls_data(spark, _N, seed=3)[0].select("id", *(r(c).alias(c) for c in ("y", "y_bar", "x_bar", "x", "x_bar2")))
 
@@ -499,6 +654,28 @@ def adjlist_round_trip(spark, d):
     return read_adjlist(spark, path)[1]
 
 
+@query("SELECT c_custkey AS id FROM customer")
+def adjlist_nodes(spark, d):
+    from uuid import uuid4
+
+    from depinfer.sources.io import read_adjlist, write_adjlist
+
+    path = f"{work_folder(spark)}/adjlist-{uuid4().hex}"
+    write_adjlist(X.customers(spark, d).select("id"), X.chain(spark, d), path)
+    return read_adjlist(spark, path)[0]
+
+
+@query(X.sql(X.NODES, select="SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS customer, y, x1 FROM nodes"))
+def node_csv_round_trip(spark, d):
+    from uuid import uuid4
+
+    from depinfer.sources.io import read_node_csv, write_node_csv
+
+    path = f"{work_folder(spark)}/nodes-{uuid4().hex}"
+    write_node_csv(X.customers(spark, d).select(F.col("id").alias("customer"), "y", "x1").orderBy("customer"), path)
+    return read_node_csv(spark, path, "customer bigint, y double, x1 double")
+
+
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_custkey AS id FROM customer")
 def row_index(spark, d):
     return with_index(X.read(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id").select("idx", "id")

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depinfer.functions.storage import cut, running_sum
+
+#: Splits of files up to which their counts are broadcast.
+BROADCAST_SPLITS = 50_000
+
 
 def read_adjlist(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of lines ``u v1 v2 ...``; ``#`` starts a comment, a lone ``u`` is an isolate."""
@@ -25,14 +30,21 @@ def write_adjlist(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_node_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A CSV with a header; the position of a row becomes its ``id``.
+    """A CSV with a header; the position of a row, by file name and place in the file, becomes its ``id``.
 
-    Positions are numbered across files and splits in order, which a
-    DataFrame operation does not promise, hence the pair of indexes.
+    Rows are counted by split of a file and numbered within it.
     """
     rows = spark.read.csv(path, header=True, schema=schema)
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return spark.createDataFrame(numbered, T.StructType([T.StructField("id", T.LongType(), False), *rows.schema.fields]))
+    names = rows.columns
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"))
+    placed = cut(placed)
+    splits = placed.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    splits = running_sum(splits, "__n", "__file", "__start", name="__before")
+    splits = cut(splits.drop("__n"))
+    # Some ten megabytes at most; rows then stay where and as they were read.
+    small = splits.count() <= BROADCAST_SPLITS
+    joined = placed.join(F.broadcast(splits) if small else splits, ["__file", "__start"])
+    return joined.select((F.col("__before") + F.col("__row") - F.col("__first")).alias("id"), *names)
 
 
 def write_node_csv(df: DataFrame, path: str) -> None:

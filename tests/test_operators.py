@@ -111,6 +111,19 @@ def test_eigenvectors_beyond_the_dense_size(spark, monkeypatch, n, k, sparse):
         C._smallest(C._Local(np.arange(4), np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]), np.array([-1.0, -1.0, -0.5, -0.5]), 2), 1)
 
 
+def test_spectrum_on_the_executors(spark, monkeypatch):
+    nodes = spark.range(43)
+    edges = spark.createDataFrame([(i, (i * i + 1) % 42, 1.0 + i % 3) for i in range(42)] + [(i, i + 1, 0.5) for i in range(42)], "src bigint, dst bigint, w double")
+    for weight in (None, "w"):
+        dense = [r.eigenvalue for r in C.spectrum(nodes, edges, weight=weight).orderBy("rank").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(C, "SPECTRUM_NODES", 10)
+            m.setattr(C, "BLOCK_COLUMNS", 9)
+            found = C.spectrum(nodes, edges, weight=weight).orderBy("rank").collect()
+        assert [r["rank"] for r in found] == list(range(len(dense)))
+        assert np.allclose([r.eigenvalue for r in found], dense, atol=1e-9)
+
+
 def test_weighted_directed_means_and_rows(spark):
     nodes = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "id bigint, x double")
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 2.0)], "src bigint, dst bigint, w double")
@@ -135,6 +148,7 @@ def test_hac_against_dense_form_and_fallback(spark):
     assert np.allclose(got.matrix, expected)
     pairs = G.ball(df.select("id"), links, 1).select("i", "j")
     assert np.allclose(H.normalised_kernel_variance(H.demean(df, ["a", "b"]), ["a", "b"], pairs), zc.T @ (scaled @ scaled.T) @ zc / n)
+    assert got.apl == pytest.approx(SU.average_path(df.select("id"), links)[0])
     iid = H.network_hac(df, ["a", "b"], b=0)
     assert np.allclose(iid.matrix, zc.T @ zc / n) and not iid.pd_failure
 
@@ -163,6 +177,10 @@ def test_positional_variance_equals_documented_one_on_sorted_rows(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, i // 7, float(v)) for i, v in enumerate(rng.normal(size=40))], "id bigint, cluster int, y double")
     assert np.allclose(C.cluster_var(df, ["y"]), C.cluster_var(df, ["y"], "positional"))
+    shuffled = df.select("id", (df.id * 7 % 40 % 6 * (df.id % 5)).cast("int").alias("cluster"), "y")
+    rows = sorted(map(tuple, shuffled.collect()))
+    want = [c for c in sorted(r[1] for r in rows)]
+    assert [r.cluster for r in C.positional_labels(shuffled).orderBy("id").collect()] == want
 
 
 def test_quantiles():
@@ -202,6 +220,33 @@ def test_linear_in_means_is_a_fixed_point(spark):
     assert np.allclose(y.y, 1 + 0.5 * a @ y.y + 3 * a @ p.x + p.x + p.e + a @ p.e)
 
 
+@pytest.mark.parametrize("t1", [0.95, -0.9, 1.7])
+def test_linear_in_means_against_the_exact_solve(spark, t1):
+    edges = S.random_geometric(spark, 40, seed=4)
+    nodes = S._drawn(spark, 40, 4)
+    y = S.linear_in_means(nodes, edges, (1.0, t1, 3.0, 1.0)).toPandas().sort_values("id").y.to_numpy()
+    p = nodes.toPandas().sort_values("id")
+    a, _ = dense(40, [tuple(r) for r in edges.collect()])
+    a = a / np.maximum(a.sum(1), 1)[:, None]
+    exact = np.linalg.solve(np.eye(40) - t1 * a, 1 + 3 * a @ p.x + p.x + p.e + a @ p.e)
+    assert np.allclose(y, exact, rtol=1e-6, atol=1e-6)
+    if t1 == 0.95:
+        with pytest.raises(ValueError, match="rounds"):
+            S.linear_in_means(nodes, edges, (1.0, t1, 3.0, 1.0), rounds=2)
+
+
+def test_csv_positions_over_files_and_splits(spark, tmp_path):
+    from depinfer.sources import io
+
+    for k, n in enumerate((3, 500, 0, 40)):
+        (tmp_path / f"f{k}.csv").write_text("Y,X\n" + "".join(f"{k}.5,{i}\n" for i in range(n)))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    got = sorted(map(tuple, io.read_node_csv(spark, str(tmp_path), "Y double, X double").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert got == [(i, *r) for i, r in enumerate([(k + 0.5, float(i)) for k, n in enumerate((3, 500, 0, 40)) for i in range(n)])]
+
+
 def test_files(spark, tmp_path):
     from depinfer.sources import io
 
