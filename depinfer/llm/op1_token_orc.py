@@ -3,7 +3,9 @@
 Documents are range-partitioned by id, encoded, and written as ORC in ascending
 id order: one list column of 32-bit ids (ORC's integer run-length encoding),
 row indexes, and Bloom filters on ``doc_id``.  Readers take stripes in parallel
-and prune them by the indexes' minima and maxima and by the Bloom filters.
+and prune them by the indexes' minima and maxima and by the Bloom filters.  How
+many ids lie before each file is written beside the files (``<path>.starts``), so
+to look up a document reads no other one.
 
 Defined cases: a null text is empty and yields the end id alone; a null
 ``doc_id`` sorts first; rows with equal ids are ordered by a hash of their text
@@ -22,6 +24,7 @@ from pyspark.sql.window import Window
 from depinfer.llm.common import ship, shuffle_partitions, text_or_empty
 from depinfer.llm.tokens import broadcast_tokenizer, default_tokenizer, encoder
 
+BROADCAST_FILES = 1_000_000
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -49,25 +52,30 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     spark = docs.sparkSession
     tokenizer = broadcast_tokenizer(spark, tokenizer_path or default_tokenizer())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(partitions or shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    # Equal rows are told apart by where they were read, so that no range has to hold all of them.
+    rows = rows.withColumn("__tie", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__tie"), F.col("__row")]
+    ordered = rows.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     (
         ordered.mapInArrow(_encoder_of(tokenizer, end_id), FILE_SCHEMA)
         .write.format("orc")
         .options(**{"orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "compression": "snappy"})
         .save(path)
     )
+    files = spark.read.schema(FILE_SCHEMA).orc(path)
+    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
+    totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before")).write.parquet(f"{path}.starts")
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from the files; ``start`` counts the ids of all documents before.
 
-    The totals have one row for each written file, which bounds what is broadcast.
+    The starts have one row for each written file; they are broadcast up to
+    ``BROADCAST_FILES`` of them.
     """
-    files = spark.read.schema(FILE_SCHEMA).orc(path)
-    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return files.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    files, before = spark.read.schema(FILE_SCHEMA).orc(path), spark.read.parquet(f"{path}.starts")
+    small = before.count() <= BROADCAST_FILES
+    return files.join(F.broadcast(before) if small else before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches):

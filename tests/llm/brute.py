@@ -49,14 +49,18 @@ def near_duplicates(rows, part=85, whole=100):
 
 
 def top_k(rows, k=20, scale=64, every=20):
-    import numpy as np
+    from fractions import Fraction
+    from math import floor, isfinite, isinf
 
-    good = [(i, np.floor(scale * np.array(v, float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = lambda x: floor(Fraction(x) * scale) if isinf(x * scale) else floor(x * scale)
+    good = [(i, [whole(x) for x in v]) for i, v in rows if v is not None and all(x is not None and isfinite(x) for x in v)]
+    # Scores that are no longs count as the nearest one.
+    score = lambda v, w: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w))))
     out = []
     for a, (i, v) in enumerate(good):
         if i is None or i % every:
             continue
-        found = sorted((-int(v @ w), j is None, j or 0, b) for b, (j, w) in enumerate(good) if b != a)[:k]
+        found = sorted((-score(v, w), j is None, j or 0, b) for b, (j, w) in enumerate(good) if b != a)[:k]
         out += [(i, r + 1, good[b][0], -s) for r, (s, _, _, b) in enumerate(found)]
     return sorted(out, key=str)
 

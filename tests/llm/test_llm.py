@@ -78,7 +78,14 @@ def test_op1_round_trip_and_file_layout(spark, tokenizer, tmp_path):
 
     files = list((tmp_path / "orc").glob("*.orc"))
     assert all(orc.ORCFile(f).row_index_stride == 10_000 for f in files)
-    assert any(b"doc_id" in f.read_bytes() for f in files)
+    java, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    for f in files:
+        reader = java.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), java.OrcFile.readerOptions(conf))
+        assert list(reader.getSchema().getFieldNames())[0] == "doc_id"
+        for stripe in reader.getStripes():
+            streams = {(x.getKind().toString(), x.getColumn()) for x in reader.rows().readStripeFooter(stripe).getStreamsList()}
+            # Column 1 is doc_id; the ids are the element column of the list.
+            assert {("BLOOM_FILTER_UTF8", 1), ("ROW_INDEX", 1), ("ROW_INDEX", 6), ("DATA", 6)} <= streams and ("BLOOM_FILTER_UTF8", 2) not in streams
     # A point look-up prunes by the indexes: the plan pushes the filter into the files.
     assert "EqualTo(doc_id,54)" in op1_token_orc.read_token_orc(spark, path).filter("doc_id = 54")._jdf.queryExecution().toString()
 
@@ -473,8 +480,14 @@ def test_op10_against_brute_force(spark, block):
     rows = [(i, [float(x) for x in rng.normal(size=9) * (0.1 if i % 3 else 3)]) for i in range(120)]
     rows += [(240, rows[0][1])] * 3 + [(i, rows[3][1]) for i in range(300, 340)] + [(None, rows[0][1]), (400, None), (420, [1.0, None] + [0.0] * 7), (440, [float("nan")] * 9), (460, [float("inf")] * 9)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
-    assert whole(op10_topk.top_k(df, block_rows=block, block_queries=5)) == brute.top_k(rows)
+    assert whole(op10_topk.top_k(df, block_rows=block)) == brute.top_k(rows)
     assert op10_topk.top_k(df.limit(0)).count() == 0
+    # Finite components of any size: exact, and at the end of the range beyond it.
+    rows += [(500, [1e30] + [0.0] * 8), (501, [-1e300] * 9), (502, [2.0**21] * 9), (503, [1e308, -1e308] + [1.0] * 7)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
+    got = op10_topk.top_k(df, block_rows=block).collect()
+    assert whole(spark.createDataFrame(got)) == brute.top_k(rows)
+    assert {r.score for r in got if r.query_id == 500 and r.vec_id == 501} <= {-(2**63)} and max(r.score for r in got) == 2**63 - 1
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
