@@ -32,26 +32,44 @@ class Encoder:
     """
 
     def __init__(self, json_text: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        import numpy as np
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
         self.tokenizer.encode_special_tokens = True
-        #: For chunks of letters alone, which the pre-tokenizer's pattern would leave whole.
-        self.letters = Tokenizer.from_str(json_text)
-        self.letters.encode_special_tokens = True
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Which tokens begin with a space (written as U+0120 in the vocabulary); a word's other tokens hold none.
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
         #: Chunk (without its leading space, or with its leading line feed) -> its ids.
         self.known: dict[str, bytes] = {}
 
-    def _batch(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        encode, out = (tokenizer or self.tokenizer).encode_batch_fast, []
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        encode, out = self.tokenizer.encode_batch_fast, []
         # The library's results are large: a few thousand at a time.
         for at in range(0, len(texts), 8192):
             out += [array("I", e.ids).tobytes() for e in encode(texts[at : at + 8192], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone that follow a space: many in one text, cut at the tokens that begin with a space."""
+        import numpy as np
+
+        out: list[bytes] = []
+        for at in range(0, len(words), 1 << 16):
+            texts = [" " + " ".join(words[i : i + 1024]) for i in range(at, min(at + (1 << 16), len(words)), 1024)]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                edges = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), 4 * len(ids)]
+                ids = ids.tobytes()
+                out += [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        return out
+
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of chunks that follow a space, or begin with a line feed."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         known = self.known
         found = list(map(known.get, words))
         new = [i for i, x in enumerate(found) if x is None]
@@ -59,25 +77,25 @@ class Encoder:
             return found
         if len(known) + len(new) > CACHE_WORDS:
             known = self.known = {w: x for w, x in zip(words, found) if x is not None}
-        letters, others, marked = set(), set(), []
-        for i in new:
-            w = words[i]
-            stem = w.rstrip(".,")
-            if len(stem) != len(w) and stem and stem[-1].isalpha():
-                marked.append((i, stem, w[len(stem) :]))
-                w = stem
-                if w in known:
-                    continue
-            (letters if w.isalpha() else others).add(w)
-        letters, others = list(letters), list(others)
-        known.update(zip(letters, self._batch([" " + w for w in letters], self.letters)))
+        # Full stops and commas after a letter are pieces of their own.
+        chunks = pa.array([words[i] for i in new], pa.large_string())
+        stems = pc.utf8_rtrim(chunks, ".,")
+        marked = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(chunks)), pc.match_substring_regex(stems, r"\pL$")).to_pylist()
+        chunks, stems = chunks.to_pylist(), stems.to_pylist()
+        wanted = {stem if mark else w for w, stem, mark in zip(chunks, stems, marked)}
+        wanted = [w for w in wanted if w not in known]
+        letters, others = [w for w in wanted if w.isalpha()], [w for w in wanted if not w.isalpha()]
+        known.update(zip(letters, self._words(letters)))
         known.update(zip(others, self._batch([w if w[:1] == "\n" else " " + w for w in others])))
-        marks = list({mark for _, _, mark in marked})
-        marks = dict(zip(marks, self._batch(marks)))
-        for i, stem, mark in marked:
-            known[words[i]] = known[stem] + marks[mark]
-        for i in new:
-            found[i] = known[words[i]]
+        ends: dict[str, bytes] = {}
+        for w, stem, mark in zip(chunks, stems, marked):
+            if mark:
+                end = w[len(stem) :]
+                if end not in ends:
+                    ends[end] = self._batch([end])[0]
+                known[w] = known[stem] + ends[end]
+        for i, w in zip(new, chunks):
+            found[i] = known[w]
         return found
 
     def encode(self, texts, end_id: int):
