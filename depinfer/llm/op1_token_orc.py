@@ -35,7 +35,7 @@ def _encoder_of(tokenizer, end_id: int):
         from pyspark import TaskContext
 
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in (x for whole in batches for x in enc.slices(whole)):
+        for batch in enc.slices(batches):
             ends, ids = enc.encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays(

@@ -41,7 +41,7 @@ def _pieces_of(tokenizer, end_id: int, capacity: int, grain: int, keep_ids: bool
 
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(-(-capacity // grain) + 1, np.int64)
-        for batch in (x for whole in batches for x in enc.slices(whole)):
+        for batch in enc.slices(batches):
             ends, ids = enc.encode(batch.column("text"), end_id)
             tokens = np.diff(ends)
             n = -(-tokens // capacity)
