@@ -92,13 +92,17 @@ def _windows(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
         word = "{}[at + {}]" if n == min(widths) else "get({}, at + {})"
         hashed = lambda words: F.xxhash64(F.lit(n), *(F.expr(word.format(words, i)) for i in range(n)))  # noqa: B023, E731
         says = F.expr(" or ".join(f"{word.format('open', i)} > '\x05'" for i in range(n)))
-        fits = F.lit(True) if n == min(widths) else F.col("at") + n <= F.size("words")
-        kinds += [F.when(fits, hashed("words")).alias(f"h{n}"), F.when(fits & says, hashed("open")).alias(f"g{n}")]
+        if n == min(widths):
+            kinds += [hashed("words").alias(f"h{n}"), F.when(says, hashed("open")).alias(f"g{n}")]
+        else:
+            fits = F.col("at") + n <= F.size("words")
+            kinds += [F.when(fits, hashed("words")).alias(f"h{n}"), F.when(fits & says, hashed("open")).alias(f"g{n}")]
     both = placed.select(*keep, "at", *kinds)
     lists = []
     for n in widths:
         plain, opened = F.struct(F.col(f"h{n}").alias("hash"), F.lit(False).alias("opened")), F.struct(F.col(f"g{n}").alias("hash"), F.lit(True).alias("opened"))
-        lists.append(F.when(F.col(f"h{n}").isNull(), F.array().cast("array<struct<hash:bigint,opened:boolean>>")).when(F.col(f"g{n}") != F.col(f"h{n}"), F.array(plain, opened)).otherwise(F.array(plain)))
+        some = F.when(F.col(f"g{n}") != F.col(f"h{n}"), F.array(plain, opened)).otherwise(F.array(plain))
+        lists.append(some if n == min(widths) else F.when(F.col(f"h{n}").isNull(), F.array().cast("array<struct<hash:bigint,opened:boolean>>")).otherwise(some))
     return both.select(*keep, "at", F.explode(lists[0] if len(lists) == 1 else F.concat(*lists)).alias("w")).select(*keep, "at", "w.hash", "w.opened")
 
 
