@@ -89,7 +89,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     ``unit``: 0 whole text, 1 a paragraph, 2 a line.
     """
     spark = docs.sparkSession
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # A little wider than the bounds, so that rounding loses no unit that lies on them.
+    low, high = threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
     known = template_table(spark, templates)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("text"))
     unit = lambda kind, x: F.struct(F.lit(kind).alias("unit"), x.alias("said"))

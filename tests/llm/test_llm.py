@@ -257,6 +257,14 @@ def test_op3_query_and_odd_texts_against_brute_force(spark):
     assert op3_licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_op3_units_on_the_bounds(spark):
+    rows = [(1, "Code released under the MIT License here"), (2, "Our code released under the MIT License here")]
+    templates = (("MIT", "Released under the MIT License."), ("ISC", "one two three four five six seven"))
+    rows += [(3, "two three four five six"), (4, "two three four five")]
+    got = {(r.doc_id, r.license): r.dice for r in op3_licenses.scan_licenses(docs(spark, rows), templates).collect()}
+    assert got == {(1, "MIT"): 0.8, (3, "ISC"): 0.8} == brute.licenses(rows, templates)
+
+
 PAGE = """<html><head><title>x</title></head><body><header class=site><a href=/>Home</a></header><nav>a b</nav><div id="cookie-notice">We use cookies.</div>
 <main><h1>Title</h1><p>Hello &amp; <b>bold</b>
  text.<p>Second para. <script>if(a<b){}</script><ul><li>one<li>two</ul><div class="ad">Buy</div><blockquote>Quote</blockquote><form><label>Mail</label><input></form></main>
