@@ -548,6 +548,28 @@ def spectrum_histogram(spark, d):
     return C.spectrum_histogram(C.spectrum(X.customers(spark, d), X.chain(spark, d)))
 
 
+# Suppliers in a ring: the eigenvalues are 1 - cos(2 pi k / n), none of them on the inner edge of a seventh.
+_RING = """s AS (SELECT count(*) AS n FROM supplier), v AS (SELECT 1 - cos(2 * pi() * k / n) AS value FROM s, unnest(range(n)) AS t(k))"""
+
+
+def _ring(spark, d) -> tuple[DataFrame, DataFrame]:
+    nodes = with_index(X.read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), "id")
+    following = nodes.select(F.col("id").alias("dst"), F.pmod(F.col("idx") - 1, F.lit(nodes.count())).alias("idx"))
+    return nodes.select("id"), nodes.withColumnRenamed("id", "src").join(following, "idx").select("src", "dst")
+
+
+@query(X.sql(_RING, select="SELECT row_number() OVER (ORDER BY value) - 1 AS rank, round(value, 6) AS eigenvalue FROM v"))
+def spectrum_ring(spark, d):
+    return C.spectrum(*_ring(spark, d)).select("rank", (r("eigenvalue") + 0.0).alias("eigenvalue"))
+
+
+@query(X.sql(_RING, "c AS (SELECT least(greatest(floor(value / (2.0 / 7)), 0), 6) AS bin, count(*) AS n FROM v GROUP BY ALL)",
+             select="SELECT CAST(b AS INTEGER) AS bin, round(b * (2.0 / 7), 9) AS lo, round((b + 1) * (2.0 / 7), 9) AS hi, coalesce(c.n, 0) AS n FROM range(7) t(b) LEFT JOIN c ON c.bin = b"))
+def spectrum_histogram_ring(spark, d):
+    found = C.spectrum_histogram(C.spectrum(*_ring(spark, d)), bins=7)
+    return found.select("bin", r("lo", 9).alias("lo"), r("hi", 9).alias("hi"), "n")
+
+
 @query()
 def spectral_clusters(spark, d):
     return C.spectral_clustering(X.customers(spark, d), X.geometric(spark, d), 4)
