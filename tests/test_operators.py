@@ -111,6 +111,39 @@ def test_eigenvectors_beyond_the_dense_size(spark, monkeypatch, n, k, sparse):
         C._smallest(C._Local(np.arange(4), np.array([0, 1, 2, 3]), np.array([1, 0, 3, 2]), np.array([-1.0, -1.0, -0.5, -0.5]), 2), 1)
 
 
+def test_eigenvectors_of_a_long_network_take_few_products(spark, monkeypatch):
+    # A strip of 3,000 nodes with gaps of about 1e-6: filters take thousands of products.
+    n = 3_000
+    nodes = spark.range(n)
+    edges = spark.range(n).selectExpr("id as src", "explode(array(id + 1, id + 2, id + 3)) as dst").filter(f"dst < {n}")
+    exact = np.array([r.v for r in C._eigenvectors(nodes, edges, 3, None).orderBy("id").collect()])
+    products, product = [], C._Local.product
+    monkeypatch.setattr(C, "DENSE_NODES", 10)
+    monkeypatch.setattr(C._Local, "product", lambda self, x: products.append(1) or product(self, x))
+    found = np.array([r.v for r in C._eigenvectors(nodes, edges, 3, None).orderBy("id").collect()])
+    assert np.linalg.svd(exact.T @ found)[1].min() > 1 - 1e-8
+    assert len(products) < 50
+
+
+@pytest.mark.parametrize("n, core", [(500, 600), (500, 5), (2_000, 50)])
+def test_factor_of_a_sparse_matrix(monkeypatch, n, core):
+    from depinfer.functions import sparse
+
+    monkeypatch.setattr(sparse, "CORE_ROWS", core)
+    rng = np.random.default_rng(n)
+    matrix = np.diag(rng.normal(size=n))
+    for i in range(n - 1):
+        matrix[i, i + 1] = matrix[i + 1, i] = rng.normal()
+    for i, j in rng.integers(0, n, (n // 10, 2)):
+        if i != j:
+            matrix[i, j] = matrix[j, i] = rng.normal()
+    i, j = np.nonzero(matrix - np.diag(np.diag(matrix)))
+    factor = sparse.Factor(np.diag(matrix), i, j, matrix[i, j])
+    assert factor.below() == (np.linalg.eigvalsh(matrix) < 0).sum()
+    x = rng.normal(size=(n, 3))
+    assert np.allclose(matrix @ factor.solve(x), x, atol=1e-6)
+
+
 def test_spectrum_on_the_executors(spark, monkeypatch):
     nodes = spark.range(43)
     edges = spark.createDataFrame([(i, (i * i + 1) % 42, 1.0 + i % 3) for i in range(42)] + [(i, i + 1, 0.5) for i in range(42)], "src bigint, dst bigint, w double")
