@@ -144,6 +144,31 @@ def test_factor_of_a_sparse_matrix(monkeypatch, n, core):
     assert np.allclose(matrix @ factor.solve(x), x, atol=1e-6)
 
 
+@pytest.mark.parametrize("n, b", [(3, 2), (9, 4), (41, 3), (200, 7)])
+def test_bands_become_tridiagonal(n, b):
+    from depinfer.functions import sparse
+
+    rng = np.random.default_rng(n)
+    band = [np.r_[rng.normal(size=n - k), np.zeros(k)] for k in range(b + 1)]
+    matrix = sum(np.diag(x[: n - k], -k) + (np.diag(x[: n - k], k) if k else 0) for k, x in enumerate(band))
+    found = sparse.tridiagonal_eigenvalues(*sparse.band_to_tridiagonal(band), np.arange(n))
+    assert np.allclose(found, np.linalg.eigvalsh(matrix), atol=1e-12)
+
+
+def test_spectrum_of_narrow_networks_beyond_the_dense_size(spark, monkeypatch):
+    # The second network is a ring with weights and a chord here and there, beside a path of its own.
+    ring = spark.createDataFrame([(i, (i + 1) % 50, 1.0) for i in range(50)], "src bigint, dst bigint, w double")
+    more = spark.createDataFrame([(i, (i + 1) % 40, 1.0 + i % 3) for i in range(40)] + [(i, i + 2, 0.5) for i in range(0, 38, 5)] + [(i, i + 1, 1.0) for i in range(40, 49)], "src bigint, dst bigint, w double")
+    for edges, giant, weight in ((ring, True, None), (more, False, "w"), (more, False, None)):
+        exact = [r.eigenvalue for r in C.spectrum(spark.range(50), edges, giant, weight).orderBy("rank").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(C, "SPECTRUM_NODES", 10)
+            m.setattr(C, "spread_eigenvalues", None)
+            found = C.spectrum(spark.range(50), edges, giant, weight).orderBy("rank").collect()
+        assert [r["rank"] for r in found] == list(range(len(exact)))
+        assert np.allclose([r.eigenvalue for r in found], exact, atol=1e-13)
+
+
 def test_spectrum_on_the_executors(spark, monkeypatch):
     nodes = spark.range(43)
     edges = spark.createDataFrame([(i, (i * i + 1) % 42, 1.0 + i % 3) for i in range(42)] + [(i, i + 1, 0.5) for i in range(42)], "src bigint, dst bigint, w double")
