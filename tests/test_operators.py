@@ -169,6 +169,17 @@ def test_spectrum_of_narrow_networks_beyond_the_dense_size(spark, monkeypatch):
         assert np.allclose([r.eigenvalue for r in found], exact, atol=1e-13)
 
 
+def test_histogram_of_a_narrow_network_beyond_the_dense_size(spark, monkeypatch):
+    # A ring of 48 has the eigenvalues 0.5, 1 and 1.5, which are inner edges of quarters.
+    nodes, edges = spark.range(48), spark.range(48).selectExpr("id as src", "(id + 1) % 48 as dst")
+    monkeypatch.setattr(C, "SPECTRUM_NODES", 10)
+    monkeypatch.setattr(C, "spread_eigenvalues", None)
+    for bins in (4, 7):
+        want = np.bincount(np.minimum((1 - np.cos(2 * np.pi * np.arange(48) / 48) + 1e-9) // (2 / bins), bins - 1).astype(int), minlength=bins)
+        found = C.network_histogram(nodes, edges, bins).orderBy("bin").collect()
+        assert [(r.bin, r.n) for r in found] == list(enumerate(want))
+
+
 def test_spectrum_on_the_executors(spark, monkeypatch):
     nodes = spark.range(43)
     edges = spark.createDataFrame([(i, (i * i + 1) % 42, 1.0 + i % 3) for i in range(42)] + [(i, i + 1, 0.5) for i in range(42)], "src bigint, dst bigint, w double")
