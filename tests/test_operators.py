@@ -180,6 +180,31 @@ def test_histogram_of_a_narrow_network_beyond_the_dense_size(spark, monkeypatch)
         assert [(r.bin, r.n) for r in found] == list(enumerate(want))
 
 
+def test_spectrum_of_wide_networks_by_lanczos(spark, monkeypatch):
+    nodes, rng = spark.range(300), np.random.default_rng(5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(299)] + [(int(min(p)), int(max(p))) for p in rng.integers(0, 300, (300, 2)) if p[0] != p[1]], "src bigint, dst bigint")
+    exact = np.array([r.eigenvalue for r in C.spectrum(nodes, edges).orderBy("rank").collect()])
+    bins = [r.n for r in C.network_histogram(nodes, edges).orderBy("bin").collect()]
+    monkeypatch.setattr(C, "SPECTRUM_NODES", 10)
+    monkeypatch.setattr(C, "spread_eigenvalues", None)
+    found = C.spectrum(nodes, edges).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(300))
+    assert np.allclose([r.eigenvalue for r in found], exact, atol=1e-9)
+    assert [r.n for r in C.network_histogram(nodes, edges).orderBy("bin").collect()] == bins
+
+
+def test_spectrum_with_multiple_eigenvalues_leaves_lanczos(spark, monkeypatch):
+    # The leaves of a star's arms are alike, so the eigenvalue 1 comes often.
+    edges = spark.createDataFrame([(0, i) for i in range(1, 12)] + [(1 + i % 11, 12 + i) for i in range(22)], "src bigint, dst bigint")
+    exact = [r.eigenvalue for r in C.spectrum(spark.range(34), edges).orderBy("rank").collect()]
+    monkeypatch.setattr(C, "SPECTRUM_NODES", 10)
+    monkeypatch.setattr(C, "BLOCK_COLUMNS", 17)
+    spread, used = C.spread_eigenvalues, []
+    monkeypatch.setattr(C, "spread_eigenvalues", lambda *a: used.append(1) or spread(*a))
+    found = [r.eigenvalue for r in C.spectrum(spark.range(34), edges).orderBy("rank").collect()]
+    assert used and np.allclose(found, exact, atol=1e-9)
+
+
 def test_spectrum_on_the_executors(spark, monkeypatch):
     nodes = spark.range(43)
     edges = spark.createDataFrame([(i, (i * i + 1) % 42, 1.0 + i % 3) for i in range(42)] + [(i, i + 1, 0.5) for i in range(42)], "src bigint, dst bigint, w double")
